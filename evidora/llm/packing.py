@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import json
 import random
+import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -41,12 +42,27 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+class ByteLetters(dict):
+    """For str.translate: the letters that stand for a character's UTF-8 bytes in a byte-level vocabulary."""
+
+    def __init__(self):
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.level = ByteLevel(add_prefix_space=False, use_regex=False)
+
+    def __missing__(self, code: int) -> str:
+        self[code] = found = self.level.pre_tokenize_str(chr(code))[0][0]
+        return found
+
+
 class WordTokens:
-    """Encodes as the tokenizer file says. If its rules work word by word, ids of words are kept
-    and texts in Latin letters are cut here; other texts go to the tokenizer whole."""
+    """Encodes as the tokenizer file says. If its rules work word by word, the ids of words and of
+    the stretches between white space are kept as bytes, texts in Latin letters are put
+    together from these, and new words go to the tokenizer's model alone; other texts go to the
+    tokenizer whole."""
 
     _loaded: dict[str, WordTokens] = {}
-    MOST = 1_000_000
+    MOST = 400_000
 
     def __init__(self, path: str):
         import regex
@@ -55,13 +71,16 @@ class WordTokens:
         with open(path) as f:
             rules = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, list[int]] = {}
+        self.letters = ByteLetters()
+        self.by_word: dict[str, bytes] = {}
+        self.by_stretch: dict[str, bytes] = {}
         self.marks = [x["content"] for x in rules["added_tokens"]]
         steps = (rules.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         normal = [x.get("type") for x in (rules.get("normalizer") or {}).get("normalizers", [])]
-        by_word = steps[0].get("type") == "Split" and steps[0].get("behavior") == "Removed" and steps[0].get("invert") and len(steps) == 2 and steps[1].get("use_regex") is False
-        self.words = regex.compile(steps[0]["pattern"]["Regex"]).findall if by_word and normal == ["NFC", "Replace", "Lowercase"] and not rules.get("post_processor") else None
-        self.beyond = regex.compile("[^\\x00-\\x1b\\x20-\\u012f\\u0131-\\u024f]").search
+        split = steps[0].get("type") == "Split" and steps[0].get("behavior") == "Removed" and steps[0].get("invert") and len(steps) == 2 and steps[1].get("use_regex") is False
+        self.words = regex.compile(steps[0]["pattern"]["Regex"]).findall if split and normal == ["NFC", "Replace", "Lowercase"] and not rules.get("post_processor") else None
+        # white space that libraries may disagree on, and letters that NFC or lower case may turn into several
+        self.beyond = regex.compile("[^\\x00-\\x1b\\x20-\\x7e\\xa1-\\u012f\\u0131-\\u024f]").search
 
     @classmethod
     def of(cls, path: str) -> WordTokens:
@@ -69,34 +88,44 @@ class WordTokens:
             cls._loaded[path] = cls(path)
         return cls._loaded[path]
 
-    def encode(self, text: str) -> list[int]:
-        if self.words is None or self.beyond(text) or any(m in text for m in self.marks):
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
-        out: list[int] = []
-        known, take = self.known, out.extend
-        for word in self.words(text.lower()):
-            ids = known.get(word)
-            if ids is None:
-                ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-                if len(known) >= self.MOST:
-                    known.clear()
-                known[word] = ids
-            take(ids)
-        return out
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as little-endian unsigned 32-bit numbers."""
+        plain = [self.words is not None and not self.beyond(x) and not any(m in x for m in self.marks) for x in texts]
+        cut = [x.lower().split() if p else [] for x, p in zip(texts, plain, strict=True)]
+        for cache in (self.by_word, self.by_stretch):
+            if len(cache) > self.MOST:
+                cache.clear()
+        self._learn({s for stretches in cut for s in stretches if s not in self.by_stretch})
+        get = self.by_stretch.__getitem__
+        return [b"".join(map(get, c)) if p else self.whole(x) for x, p, c in zip(texts, plain, cut, strict=True)]
+
+    def _learn(self, stretches: set[str]) -> None:
+        parts = {s: self.words(s) for s in stretches}
+        tokens, letters = self.tokenizer.model.tokenize, self.letters
+        for word in {w for words in parts.values() for w in words if w not in self.by_word}:
+            ids = [t.id for t in tokens(word.translate(letters))]
+            self.by_word[word] = struct.pack(f"<{len(ids)}I", *ids)
+        get = self.by_word.__getitem__
+        self.by_stretch.update((s, b"".join(map(get, words))) for s, words in parts.items())
 
 
 def tokenise(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece, columns of PIECES."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordTokens.of(path).encode
+        encode, end = WordTokens.of(path).encode, np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows = []
-            for doc, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.array([*encode(value.as_py() or ""), end_id], "<u4")
-                for k, at in enumerate(range(0, len(ids), capacity)):
-                    part = ids[at : at + capacity]
-                    rows.append((doc, k, at, len(part), zlib.crc32(part.tobytes())))
+            docs_in, texts = batch.column(0).to_pylist(), [x.as_py() or "" for x in batch.column(1)]
+            for lo in range(0, len(texts), 512):
+                for doc, found in zip(docs_in[lo : lo + 512], encode(texts[lo : lo + 512]), strict=True):
+                    ids = found + end
+                    for k, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[at : at + 4 * capacity]
+                        rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
             columns = zip(*rows, strict=True) if rows else [[]] * 5
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
