@@ -59,10 +59,10 @@ class WordTokens:
     """Encodes as the tokenizer file says. If its rules work word by word, the ids of words and of
     the stretches between white space are kept as bytes, texts in Latin letters are put
     together from these, and new words go to the tokenizer's model alone; other texts go to the
-    tokenizer whole."""
+    tokenizer whole. A stretch of letters alone is a word."""
 
     _loaded: dict[str, WordTokens] = {}
-    MOST = 400_000
+    MOST = 600_000
 
     def __init__(self, path: str):
         import regex
@@ -72,8 +72,7 @@ class WordTokens:
             rules = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
         self.letters = ByteLetters()
-        self.by_word: dict[str, bytes] = {}
-        self.by_stretch: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
         self.marks = [x["content"] for x in rules["added_tokens"]]
         steps = (rules.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         normal = [x.get("type") for x in (rules.get("normalizer") or {}).get("normalizers", [])]
@@ -95,21 +94,28 @@ class WordTokens:
         """The ids of each text, as little-endian unsigned 32-bit numbers."""
         plain = [self.words is not None and not self.beyond(x) and not any(m in x for m in self.marks) for x in texts]
         cut = [x.lower().split() if p else [] for x, p in zip(texts, plain, strict=True)]
-        for cache in (self.by_word, self.by_stretch):
-            if len(cache) > self.MOST:
-                cache.clear()
-        self._learn({s for stretches in cut for s in stretches if s not in self.by_stretch})
-        get = self.by_stretch.__getitem__
+        if len(self.known) > self.MOST:
+            self.known.clear()
+        self._learn(set().union(*cut).difference(self.known))
+        get = self.known.__getitem__
         return [b"".join(map(get, c)) if p else self.whole(x) for x, p, c in zip(texts, plain, cut, strict=True)]
 
     def _learn(self, stretches: set[str]) -> None:
-        parts = {s: self.words(s) for s in stretches}
-        tokens, letters = self.tokenizer.model.tokenize, self.letters
-        for word in {w for words in parts.values() for w in words if w not in self.by_word}:
-            ids = [t.id for t in tokens(word.translate(letters))]
-            self.by_word[word] = struct.pack(f"<{len(ids)}I", *ids)
-        get = self.by_word.__getitem__
-        self.by_stretch.update((s, b"".join(map(get, words))) for s, words in parts.items())
+        known, model, letters, pack_ids = self.known, self.tokenizer.model.tokenize, self.letters, struct.pack
+
+        def word_ids(word: str) -> bytes:
+            ids = [t.id for t in model(word.translate(letters))]
+            known[word] = made = pack_ids(f"<{len(ids)}I", *ids)
+            return made
+
+        for stretch in stretches:
+            if stretch.isalpha():
+                word_ids(stretch)
+            elif stretch[:-1].isalpha() and not stretch[-1].isalnum():  # a word and its full stop or comma
+                head, tail = stretch[:-1], stretch[-1]
+                known[stretch] = (known.get(head) or word_ids(head)) + (known.get(tail) or word_ids(tail))
+            else:
+                known[stretch] = b"".join([known.get(w) or word_ids(w) for w in self.words(stretch)])
 
 
 def tokenise(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
