@@ -59,8 +59,11 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     """Write all pages as archives below ``path``."""
     rows, several = revisits(pages, id_col, url_col, html_col, min_revisit)
     total = rows.agg(F.sum("size")).first()[0] or 0
-    # a revisit needs no html: join first, then drop it, before the records are dealt to archives
-    joined = rows.join(several, "digest", "left").withColumn("revisit", (F.col("response") != F.col("id")) & F.col("response").isNotNull())
+    archives = max(1, -(-int(total) // archive_bytes))
+    key = F.concat_ws(":", "id", "digest").alias("key")
+    marks = rows.select("id", "digest", key).join(several, "digest").filter("response <> id").select("key", "response").distinct()
+    # the html is dealt to archives once, by the key on which the marks are joined
+    joined = rows.select("*", key).repartition(archives, "key").join(marks.repartition(archives, "key"), "key", "left").withColumn("revisit", F.col("response").isNotNull())
     eol = F.lit("\r\n")
     record = F.coalesce(F.col("id").cast("string"), F.lit("none"))
     date = F.date_format(F.timestamp_seconds(F.lit(1_600_000_000) + F.coalesce(F.col("id"), F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
@@ -76,9 +79,8 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         F.lit("Content-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length("block").cast("string"), F.lit("\r\n\r\n"),
     )
     made = joined.select("id", "url", "size", "digest", "response", "revisit", block.alias("block"))
-    lines = made.select(F.concat(head, "block").alias("value"), F.xxhash64("id", "digest").alias("deal"))
-    archives = max(1, -(-int(total) // archive_bytes))
-    lines.repartition(archives, "deal").select("value").write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+    lines = made.select(F.concat(head, "block").alias("value"))
+    lines.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
 def parse(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
