@@ -59,7 +59,8 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     """Write all pages as archives below ``path``."""
     rows, several = revisits(pages, id_col, url_col, html_col, min_revisit)
     total = rows.agg(F.sum("size")).first()[0] or 0
-    archives = max(1, -(-int(total) // archive_bytes))
+    # fewer partitions than Spark's own number would make the join shuffle the html again
+    archives = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // archive_bytes))
     key = F.concat_ws(":", "id", "digest").alias("key")
     marks = rows.select("id", "digest", key).join(several, "digest").filter("response <> id").select("key", "response").distinct()
     # the html is dealt to archives once, by the key on which the marks are joined
