@@ -31,7 +31,8 @@ from evidora.llm.shared import written
 from evidora.session import table
 
 LEAF = 512  # pairs of leaves that are compared outright
-CHUNK = 1 << 18  # node pairs, and pairs of leaves, held at once
+CHUNK = 1 << 16  # node pairs, and pairs of leaves, held at once
+HELD = 1 << 20  # 64-bit words of fingerprints that are searched together
 
 
 def fingerprint(text: str | None, width: int = 4, words: int = 1) -> np.ndarray:
@@ -219,7 +220,7 @@ def trie_links(bucketed: DataFrame, words: int, budget: int, prune: int) -> Data
         held: list[pa.RecordBatch] = []
         for batch in batches:
             held.append(batch)
-            if sum(b.num_rows for b in held) >= 1 << 19:  # whole groups only
+            if sum(b.num_rows for b in held) * words >= HELD:  # whole groups only
                 rows = pa.Table.from_batches(held)
                 key, sub = rows.column("key").to_numpy(), rows.column("sub").to_numpy()
                 before = np.flatnonzero((key != key[-1]) | (sub != sub[-1]))
