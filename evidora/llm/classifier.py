@@ -148,7 +148,7 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), at, value], names=["label", "at", "value"])
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 20_000) -> Machine:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 12_000) -> Machine:
     usable = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & (remainder(id_col) != 0))
     one = usable.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_label"))
     sample = one.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)  # at most max_rows rows, so it can be broadcast
