@@ -24,11 +24,6 @@ def percentile_nearest(column: str, q: float) -> Column:
     return F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY `{column}`)")
 
 
-def percentile_floor(column: str, q: float) -> Column:
-    """The value at place floor(q n) of all n, in order, an exact percentile of collected counts."""
-    return F.expr(f"element_at(array_sort(collect_list(`{column}`)), 1 + cast(least(floor({q} * count(`{column}`)), count(`{column}`) - 1) as int))")
-
-
 def at_rank(gold: Column, k: int) -> Column:
     return F.avg(F.when(gold <= k, 1.0).otherwise(0.0))
 
