@@ -108,7 +108,7 @@ def weak_anchor(text: Column) -> Column:
 def normal_answer(text: Column) -> Column:
     """Lower case without punctuation and articles, single spaces."""
     bare = F.translate(F.lower(text), C.PUNCTUATION, "")
-    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"\b(a|an|the)\b", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"(?U)\b(a|an|the)\b", " "), r"\s+", " "))
 
 
 def has_answer(text: Column, answers: Column) -> Column:

@@ -5,6 +5,8 @@ Texts come as (ord, text), ord the documents' order, which breaks ties in every
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,15 +60,14 @@ def char_grams(text: Column, low: int = 3, high: int = 5) -> Column:
     an n gives itself once, and then no longer n is taken."""
     words = F.filter(F.split(F.lower(F.regexp_replace(text, r"(?U)\s+", " ")), " "), lambda w: w != "")
 
+    def windows(padded: Column, n: int) -> Column:
+        whole = F.length(padded) <= n if n == low else F.length(padded) == n
+        cut = F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - n + 1, F.lit(1))), lambda i: padded.substr(i, F.lit(n)))
+        return F.when(whole, F.array(padded)).when(F.length(padded) > n, cut).otherwise(F.array().cast("array<string>"))
+
     def grams(word: Column) -> Column:
         padded = F.concat(F.lit(" "), word, F.lit(" "))
-        parts = [
-            F.when(F.length(padded) > n, F.transform(F.sequence(F.lit(1), F.length(padded) - n + 1), lambda i, n=n: padded.substr(i, F.lit(n))))
-            .when(F.length(padded) == n if n > low else F.length(padded) <= n, F.array(padded))
-            .otherwise(F.array().cast("array<string>"))
-            for n in range(low, high + 1)
-        ]
-        return F.concat(*parts)
+        return F.concat(*(windows(padded, n) for n in range(low, high + 1)))
 
     return F.flatten(F.transform(words, grams))
 
@@ -87,10 +88,10 @@ def sections(chunks: DataFrame) -> DataFrame:
 class Lsa:
     """Latent semantic vectors: weights log1p(tf) (ln((N+1)/(df+1)) + 1), rows of unit length, and a truncated SVD.
 
-    The Gram matrix of terms is reduced with a distributed row matrix; terms are the ``vocabulary`` most
-    frequent by document count, a bound on the width that the decomposition needs."""
+    One distributed pass gives the terms' Gram matrix, whose eigenvectors are the right singular vectors. Terms are the
+    ``vocabulary`` most frequent by document count, which bounds that matrix on the driver."""
 
-    def __init__(self, rank: int = 128, vocabulary: int = 4096):
+    def __init__(self, rank: int = 128, vocabulary: int = 2048):
         self.rank, self.vocabulary = rank, vocabulary
 
     def _weights(self, docs: DataFrame) -> DataFrame:
@@ -113,14 +114,12 @@ class Lsa:
         rows = self._weights(docs)
         k = max(1, min(self.rank, n - 1, width - 1))
         matrix = RowMatrix(rows.select("m").rdd.map(lambda r: Vectors.sparse(width, sorted(r.m.items()))))
-        self.components = matrix.computeSVD(k).V.toArray()  # bounded: vocabulary x rank
+        gram = matrix.computeGramianMatrix().toArray()  # bounded: vocabulary x vocabulary
+        self.components = np.ascontiguousarray(np.linalg.eigh(gram)[1][:, ::-1][:, :k])
         return self
 
     def transform(self, docs: DataFrame) -> DataFrame:
         """(ord, vector) of unit length; texts without a known term are left out."""
-        import numpy as np
-        import pandas as pd
-
         axes = docs.sparkSession.sparkContext.broadcast(self.components)
 
         @F.pandas_udf("array<double>")

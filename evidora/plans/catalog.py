@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from evidora.plans import answer_queries, retrieval_queries, text_queries
+
 Query = Callable[[SparkSession, str], DataFrame]
 
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+MODULES = (text_queries, retrieval_queries, answer_queries)
+QUERIES: dict[str, Query] = {name: query for module in MODULES for name, query in module.QUERIES.items()}
+ORACLES: dict[str, str] = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
