@@ -204,10 +204,10 @@ def token_estimate(text: Column) -> Column:
 
 
 def common_prefix(a: Column, b: Column) -> Column:
-    """How many leading items two arrays share."""
+    """How many leading items two arrays share; none with a null array."""
     n = F.least(F.size(a), F.size(b))
     differ = F.array_position(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.get(a, i - 1) == F.get(b, i - 1)), F.lit(False))
-    return F.when(n <= 0, 0).when(differ == 0, n).otherwise(differ - 1).cast("int")
+    return F.when(a.isNull() | b.isNull() | (n <= 0), 0).when(differ == 0, n).otherwise(differ - 1).cast("int")
 
 
 def stability(text: Column, previous: Column, final: Column, topic: Column, bigram: Column) -> Column:
