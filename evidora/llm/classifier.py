@@ -98,8 +98,8 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rank: int = 8, epochs: int = 6, rate: float = 0.02, ridge: float = 1e-5, seed: int = 7) -> Machine:
-    """Mini-batch Adam on the logistic loss."""
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rank: int = 8, epochs: int = 6, steps: int = 300, rate: float = 0.02, ridge: float = 1e-5, seed: int = 7) -> Machine:
+    """Mini-batch Adam on the logistic loss, over the rows ``epochs`` times and for ``steps`` batches at least."""
     draw = np.random.default_rng(seed)
     mean = float(np.clip(labels.mean(), 0.01, 0.99)) if len(labels) else 0.5
     model = Machine(float(np.log(mean / (1 - mean))), np.zeros(SIZE, np.float32), draw.normal(0, 0.02, (SIZE, rank)).astype(np.float32))
@@ -107,7 +107,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rank: int
         return model
     state = [np.zeros_like(x) for x in (model.linear, model.linear, model.factors, model.factors)]
     step = 0
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-steps // -(-len(rows) // 256)))):
         order = draw.permutation(len(rows))
         for lo in range(0, len(order), 256):
             part = order[lo : lo + 256]

@@ -90,25 +90,32 @@ def common_lines(docs: DataFrame, id_col: str, text_col: str, min_docs: int, bat
     return written(runs.settled(), "line-settled")
 
 
-def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, batches: int = 4) -> DataFrame:
-    """docs with ``text_col`` replaced by what is kept of it, and columns _n_lines and _n_dropped."""
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, batches: int = 4) -> DataFrame:
+    """One row per row of docs: (row, kept, n_lines, n_dropped), row a struct of all columns but the text, so that no name
+    can clash."""
     settled = common_lines(docs, id_col, text_col, min_docs, batches)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    row = [F.xxhash64(id_col, text_col).alias("_r1"), F.xxhash64(F.lit(1), id_col, text_col).alias("_r2")]
-    places = docs.select(*row, F.posexplode(line_keys(text)).alias("_at", "key")).filter("key <> ''").select("_r1", "_r2", "_at", *hashes("key"))
-    gone = places.join(settled, ["h1", "h2"], "left_semi").groupBy("_r1", "_r2").agg(F.collect_set("_at").alias("_gone"))
-    rows = docs.select("*", *row, F.split(text, "\n").alias("_lines")).drop(text_col)
-    found = rows.join(gone, ["_r1", "_r2"], "left")
-    n = F.size("_lines")
-    stay = F.array_except(F.sequence(F.lit(0), n - 1), "_gone")  # by hashing, in order
-    kept = F.when(F.col("_gone").isNull(), F.array_join("_lines", "\n")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("_lines", i)), "\n"))
-    out = found.select("*", kept.alias(text_col), n.cast("long").alias("_n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("_n_dropped"))
-    return out.select(*docs.columns, "_n_lines", "_n_dropped")
+    key = [F.xxhash64(id_col, text_col).alias("r1"), F.xxhash64(F.lit(1), id_col, text_col).alias("r2")]
+    places = docs.select(*key, F.posexplode(line_keys(text)).alias("at", "line")).filter("line <> ''").select("r1", "r2", "at", *hashes("line"))
+    gone = places.join(settled, ["h1", "h2"], "left_semi").groupBy("r1", "r2").agg(F.collect_set("at").alias("gone"))
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    rows = docs.select(F.struct(*others).alias("row"), *key, F.split(text, "\n").alias("lines"))
+    found = rows.join(gone, ["r1", "r2"], "left")
+    n = F.size("lines")
+    stay = F.array_except(F.sequence(F.lit(0), n - 1), "gone")  # by hashing, in order
+    kept = F.when(F.col("gone").isNull(), F.array_join("lines", "\n")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n"))
+    return found.select("row", kept.alias("kept"), n.cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"))
+
+
+def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, batches: int = 4) -> DataFrame:
+    """docs with what is kept of its texts."""
+    found = deduplicated(docs, id_col, text_col, min_docs, batches)
+    return found.select(*(F.col("kept").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = drop_common_lines(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+    found = deduplicated(table(spark, sf_dir, "documents"))
+    return found.select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
 SQL = {

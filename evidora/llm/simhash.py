@@ -296,7 +296,8 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """The rows of docs whose id names their group of similar texts; one row of each id. Rows
     without an id stay."""
     first = similar_groups(docs, id_col, text_col).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]).join(first, F.col(id_col) == F.col("_kept"), "left_semi")
+    named = docs.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col])
+    kept = named.join(first, named[id_col] == first["_kept"], "left_semi")
     return kept.unionByName(docs.filter(F.col(id_col).isNull()))
 
 
