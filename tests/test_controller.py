@@ -105,7 +105,7 @@ def test_spoken_numbers():
     assert spoken_numbers("an eighteen thirty sonnet, twelve million viewers") == "an 1830 sonnet, 12 million viewers"
     assert spoken_numbers("nineteen oh five, or nineteen hundred") == "1905, or 1900"
     assert spoken_numbers("which one of them") == "which one of them"
-    assert spoken_numbers("one hundred and five, two of") == "105, two of"
+    assert spoken_numbers("one hundred and five, or two of") == "105, or two of"
 
 
 def test_unpunctuated_questions():
