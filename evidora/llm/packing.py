@@ -62,7 +62,7 @@ class WordTokens:
     tokenizer whole. A stretch of letters alone is a word."""
 
     _loaded: dict[str, WordTokens] = {}
-    MOST = 600_000
+    MOST = 250_000
 
     def __init__(self, path: str):
         import regex

@@ -31,7 +31,8 @@ from evidora.llm.shared import written
 from evidora.session import table
 
 LEAF = 512  # pairs of leaves that are compared outright
-CHUNK = 1 << 16  # node pairs, and pairs of leaves, held at once
+CHUNK = 1 << 16  # pairs of leaves compared at once
+NODES = 1 << 13  # node pairs expanded at once; the walk holds a few times as many on each of 64 levels
 HELD = 1 << 20  # 64-bit words of fingerprints that are searched together
 
 
@@ -120,11 +121,16 @@ def trie_forest(group: np.ndarray, fps: np.ndarray, budget: int, prune: int) ->
     stack = [(63, lo, hi, lo, hi, np.zeros(len(lo), np.int8))]
     while stack:
         bit, *pair = stack.pop()
-        if len(pair[0]) > CHUNK:
+        if len(pair[0]) > NODES:
             half = len(pair[0]) // 2
             stack += [(bit, *(x[:half] for x in pair)), (bit, *(x[half:] for x in pair))]
             continue
+        root = forest.roots()
+        turns = np.cumsum(np.concatenate(([0], root[1:] != root[:-1])))
         a, b, c, d, err = pair
+        # all leaves of both nodes are one component already: nothing to find
+        apart = (turns[b - 1] != turns[a]) | (turns[d - 1] != turns[c]) | (root[a] != root[c])
+        a, b, c, d, err = (x[apart] for x in (a, b, c, d, err))
         leaf = ((b - a) * (d - c) <= LEAF) | (bit < 0)
         if leaf.any():
             compare(forest, fps, a[leaf], b[leaf], c[leaf], d[leaf], budget)
@@ -156,8 +162,10 @@ def compare(forest: Forest, fps: np.ndarray, a: np.ndarray, b: np.ndarray, c: np
         rank = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         width = (d - c)[at]
         i, j = a[at] + rank // width, c[at] + rank % width
-        near = (i < j) | (a[at] != c[at])
-        near &= np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1, dtype=np.int64) <= budget
+        root = forest.roots()
+        apart = root[i] != root[j]  # also leaves out a leaf and itself
+        i, j = i[apart], j[apart]
+        near = np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1, dtype=np.int64) <= budget
         forest.add(i[near], j[near])
 
 
