@@ -113,51 +113,58 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
     """One row per row of docs: (id, n_words, n_hit, items, spans), spans in code points of the
     original text, end exclusive, adjoining windows of an item merged."""
     found = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.lit(None).cast("array<struct<item:long,a:int,b:int>>").alias("hits"))
-    for block in benchmark_blocks(benchmark, item_col, item_text, block_chars):
-        patterns = windows(block, width)
-        found = found.mapInArrow(_scan(patterns), found.schema)
-    return found.mapInArrow(_summary, SCHEMA)
+    blocks = benchmark_blocks(benchmark, item_col, item_text, block_chars)
+    block = next(blocks)
+    while block is not None:
+        after = next(blocks, None)
+        found = found.mapInArrow(_scan(windows(block, width), after is None), SCHEMA if after is None else found.schema)
+        block = after
+    return found
+
+
+_HITS = pa.list_(pa.struct([("item", pa.int64()), ("a", pa.int32()), ("b", pa.int32())]))
+_SPANS = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
-def _scan(patterns: dict[str, set[int]]):
+def _scan(patterns: dict[str, set[int]], last: bool):
+    """Adds a block's hits to those of earlier blocks; the last block's scan gives the result, so that with one
+    block each text is read and normalised once."""
     key = hashlib.sha256(repr(sorted((k, sorted(v)) for k, v in patterns.items())).encode()).hexdigest()
-    kind = pa.list_(pa.struct([("item", pa.int64()), ("a", pa.int32()), ("b", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner.of(patterns, key)
         for batch in batches:
             out = []
-            for text, before in zip(batch.column(1), batch.column(2), strict=True):
-                hits = scanner.scan(normalise(text.as_py()))
-                here = [{"item": i, "a": a, "b": b} for a, b, items in hits for i in sorted(items) or [None]]
-                out.append((before.as_py() or []) + here)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, kind)], names=["id", "text", "hits"])
+            for value, before in zip(batch.column(1), batch.column(2), strict=True):
+                text = value.as_py() or ""
+                words = normalise(text)
+                here = [{"item": i, "a": a, "b": b} for a, b, items in scanner.scan(words) for i in sorted(items) or [None]]
+                hits = (before.as_py() or []) + here
+                out.append(_summary(text, len(words), hits) if last else hits)
+            if last:
+                columns = zip(*out, strict=True) if out else [[]] * 4
+                types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), _SPANS]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["id", "n_words", "n_hit", "items", "spans"])
+            else:
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, _HITS)], names=["id", "text", "hits"])
 
     return run
 
 
-def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
-    for batch in batches:
-        rows = []
-        for value, hits in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
-            text = value.as_py() or ""
-            if not hits:
-                rows.append((len(normalise(text)), 0, [], []))
-                continue
-            at = [m.span() for m in WORD.finditer(text.translate(UPPER))]
-            merged: dict[int | None, list[list[int]]] = {}
-            for h in sorted(hits, key=lambda h: h["a"]):
-                own = merged.setdefault(h["item"], [])
-                if own and h["a"] <= own[-1][1]:
-                    own[-1][1] = max(own[-1][1], h["b"])
-                else:
-                    own.append([h["a"], h["b"]])
-            spans = [{"item_id": i, "start": at[a][0], "end": at[b - 1][1]} for i in merged for a, b in merged[i]]
-            rows.append((len(at), covered([(h["a"], h["b"]) for h in hits]), sorted(i for i in merged if i is not None), spans))
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
-        types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), kind]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["id", "n_words", "n_hit", "items", "spans"])
+def _summary(text: str, n_words: int, hits: list[dict]) -> tuple[int, int, list[int], list[dict]]:
+    """(words, words hit, items, spans in the text)."""
+    if not hits:
+        return n_words, 0, [], []
+    at = [m.span() for m in WORD.finditer(text.translate(UPPER))]
+    merged: dict[int | None, list[list[int]]] = {}
+    for h in sorted(hits, key=lambda h: h["a"]):
+        own = merged.setdefault(h["item"], [])
+        if own and h["a"] <= own[-1][1]:
+            own[-1][1] = max(own[-1][1], h["b"])
+        else:
+            own.append([h["a"], h["b"]])
+    spans = [{"item_id": i, "start": at[a][0], "end": at[b - 1][1]} for i in merged for a, b in merged[i]]
+    return n_words, covered([(h["a"], h["b"]) for h in hits]), sorted(i for i in merged if i is not None), spans
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", width: int = 10, block_chars: int = 4_000_000) -> DataFrame:
