@@ -8,7 +8,7 @@ from evidora.plans import catalog
 from evidora.session import build_session
 
 HEADLINE = (
-    "tokenize_counts sentence_split chunk_sentences factual_density turn_classification term_stats bm25_idf bigram_low_df bm25_topk prf_expand cosine_topk "
+    "tokenize_counts sentence_split chunk_sentences factual_density turn_classification term_stats bm25_idf bigram_low_df bm25_topk prf_expand char_ngram_topk rrf_fusion hybrid_search cosine_topk "
     "heuristic_rerank dedup_greedy lexical_claim grounding_verify engine_turns supersession trace_turns gate_coverage percentiles_linear threshold_sweep paired_bootstrap"
 ).split()
 

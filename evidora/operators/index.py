@@ -5,8 +5,13 @@ Texts come as (ord, text), ord the documents' order, which breaks ties in every
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+from itertools import chain
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,27 +60,51 @@ def bigram_stats(tokens: DataFrame) -> DataFrame:
     return tokens.select(F.explode(F.array_distinct(T.bigrams(F.col("own")))).alias("bigram")).groupBy("bigram").agg(F.count("*").alias("df"))
 
 
-def char_grams(text: Column, low: int = 3, high: int = 5) -> Column:
-    """Character n-grams inside words, each word with a blank on both sides; a padded word shorter than
-    an n gives itself once, and then no longer n is taken."""
-    words = F.filter(F.split(F.lower(F.regexp_replace(text, r"(?U)\s+", " ")), " "), lambda w: w != "")
-
-    def windows(padded: Column, n: int) -> Column:
-        whole = F.length(padded) <= n if n == low else F.length(padded) == n
-        cut = F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - n + 1, F.lit(1))), lambda i: padded.substr(i, F.lit(n)))
-        return F.when(whole, F.array(padded)).when(F.length(padded) > n, cut).otherwise(F.array().cast("array<string>"))
-
-    def grams(word: Column) -> Column:
-        padded = F.concat(F.lit(" "), word, F.lit(" "))
-        return F.concat(*(windows(padded, n) for n in range(low, high + 1)))
-
-    return F.flatten(F.transform(words, grams))
+def char_grams(word: str, low: int = 3, high: int = 5) -> list[str]:
+    """Character n-grams of a word with a blank on both sides; one that is shorter than an n gives itself
+    once, and then no longer n is taken."""
+    padded = f" {word} "
+    if len(padded) <= low:
+        return [padded]
+    return [padded[i : i + n] for n in range(low, min(high, len(padded)) + 1) for i in range(len(padded) - n + 1)]
 
 
 def gram_weights(docs: DataFrame) -> DataFrame:
-    """(ord, gram, tf): 1 + ln of the count."""
-    grams = docs.select("ord", F.explode(char_grams(F.coalesce("text", F.lit("")))).alias("gram"))
-    return grams.groupBy("ord", "gram").agg((1 + F.log(F.count("*"))).alias("tf"))
+    """(ord, grams, tf) of each text: its distinct n-grams and 1 + ln of their counts. Texts are dealt over all
+    tasks and counted there word by distinct word, so that texts are shuffled and not their ten times as many
+    n-grams; nulls and blank texts give empty arrays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):  # bounds what one output batch holds
+                part = batch.slice(start, 256)
+                words, names, spelt = {}, {}, []  # word -> place, gram -> place, grams of each word
+                which, times, size = [], [], []
+                for text in part.column(1).to_pylist():
+                    counts = Counter(text.split(" "))
+                    counts.pop("", None)
+                    for word in counts:
+                        if word not in words:
+                            words[word] = len(words)
+                            spelt.append([names.setdefault(g, len(names)) for g in char_grams(word)])
+                    which += [words[word] for word in counts]
+                    times += counts.values()
+                    size.append(len(counts))
+                per_word = np.array([len(x) for x in spelt], np.int64)
+                first, flat = np.cumsum(per_word) - per_word, np.fromiter(chain.from_iterable(spelt), np.int64, per_word.sum())
+                which = np.array(which, np.int64)
+                n = per_word[which]
+                at = np.repeat(first[which] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                row = np.repeat(np.repeat(np.arange(part.num_rows), size), n)
+                key, slot = np.unique(row * max(1, len(names)) + flat[at], return_inverse=True)
+                tf = 1 + np.log(np.bincount(slot, np.repeat(times, n), len(key)))
+                row, gram = np.divmod(key, max(1, len(names)))
+                ends = pa.array(np.searchsorted(row, np.arange(part.num_rows + 1)), pa.int32())
+                arrays = [pa.ListArray.from_arrays(ends, x) for x in (pa.array(list(names), pa.string()).take(pa.array(gram)), pa.array(tf))]
+                yield pa.RecordBatch.from_arrays([part.column(0), *arrays], names=["ord", "grams", "tf"])
+
+    plain = F.lower(F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)\s+", " "))
+    return docs.select(F.col("ord").cast("long").alias("ord"), plain.alias("text")).repartition("ord").mapInArrow(run, "ord long, grams array<string>, tf array<double>")
 
 
 def sections(chunks: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidora.config import Retrieval
@@ -68,20 +68,103 @@ def feedback_terms(docs: DataFrame, queries: DataFrame, own: Retrieval = Retriev
     return own_terms.select("query_id", "term", (2 * F.col("times")).alias("times")).unionByName(best.select("query_id", "term", F.lit(1).cast("long").alias("times")))
 
 
-def char_channel(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Cosine of character n-gram weights, both of unit length."""
+def char_channel(docs: DataFrame, queries: DataFrame, k: int, block: int = 1024) -> DataFrame:
+    """Cosine of character n-gram weights, both of unit length. Documents' weights are joined to the n-grams' idf by
+    hash and brought together by document, name and weight where a query has the n-gram and the weight alone elsewhere.
+    Queries are taken in blocks of a fixed size, each sent to the workers as lists of (query, weight) by n-gram,
+    and k rows a query leave a task."""
     weights = index.gram_weights(docs)
     n = docs.agg(F.count("*").alias("n"))
-    # grams of queries only are joined; norms need all grams
-    idf = weights.groupBy("gram").agg(F.count("*").alias("df")).crossJoin(n).select("gram", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    full = weights.join(idf, "gram").withColumn("w", F.col("tf") * F.col("idf"))
-    norm = full.groupBy("ord").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    asked = index.gram_weights(queries.select(F.col("query_id").alias("ord"), F.col("query").alias("text"))).withColumnRenamed("ord", "query_id")
-    asked = asked.join(idf, "gram").select("query_id", "gram", (F.col("tf") * F.col("idf")).alias("q"))
-    asked_norm = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("q_norm"))
-    dots = full.select("ord", "gram", "w").join(asked, "gram").groupBy("query_id", "ord").agg(F.sum(F.col("w") * F.col("q")).alias("dot"))
-    scored = dots.join(norm, "ord").join(asked_norm, "query_id").select("query_id", "ord", F.round(F.col("dot") / (F.col("norm") * F.col("q_norm")), DIGITS).alias("score"))
-    return top(scored.filter("score > 0"), k)
+    idf = weights.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("df")).crossJoin(n)
+    idf = idf.select("gram", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    asked = index.gram_weights(queries.select(F.col("query_id").alias("ord"), F.col("query").alias("text")))
+    wanted = asked.select(F.explode("grams").alias("gram")).distinct().withColumn("wanted", F.lit(True))
+    marked = idf.join(wanted, "gram", "left").hint("shuffle_hash")  # built of a partition's n-grams; spares sorting documents
+    at = F.posexplode(F.arrays_zip("grams", "tf")).alias("at", "x")
+    by_query = asked.select("ord", at).select("ord", F.col("x.grams").alias("gram"), F.col("x.tf").alias("tf")).join(idf, "gram")
+    own = by_query.groupBy("ord").agg(F.collect_list("gram").alias("grams"), F.collect_list(F.col("tf") * F.col("idf")).alias("weights"))
+    full = weights.select("ord", at).select("ord", F.col("x.grams").alias("gram"), F.col("x.tf").alias("tf")).join(marked, "gram").withColumn("w", F.col("tf") * F.col("idf"))
+    rows = full.select("ord", F.when(F.col("wanted"), F.col("gram")).alias("gram"), "w").repartition("ord").sortWithinPartitions("ord")
+
+    def part(held: list) -> DataFrame:
+        return rows.mapInArrow(_by_grams(held, k), "query_id long, ord long, score double")
+
+    return top(_in_blocks(own, part, block, queries.sparkSession), k)
+
+
+def _by_grams(asked: list, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Scores documents' rows (ord, gram or null, weight), sorted by ord, against query rows (ord, grams, weights); the k
+    best of each query. A document may span batches: its sums are carried over."""
+    ids = np.array([r.ord for r in asked])
+    place: dict[str, int] = {}
+    gram = np.array([place.setdefault(g, len(place)) for r in asked for g in r.grams])
+    who = np.repeat(np.arange(len(asked)), [len(r.grams) for r in asked])
+    weight = np.concatenate([np.array(r.weights) / np.linalg.norm(r.weights) for r in asked])
+    order = np.argsort(gram, kind="stable")
+    who, weight, starts = who[order], weight[order], np.searchsorted(gram[order], np.arange(len(place) + 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        new, pairs = [best], 0
+        last, last_square, last_dots = None, 0.0, np.zeros(len(ids))
+
+        def scored(ords: np.ndarray, squares: np.ndarray, dots: np.ndarray) -> None:
+            nonlocal best, new, pairs
+            scores = np.round(dots / np.sqrt(np.maximum(squares, 1e-300))[:, None], DIGITS)
+            row, q = np.nonzero(scores > 0)
+            new.append((q, ords[row], scores[row, q]))
+            pairs += len(q)
+            if pairs > 1 << 18:
+                best, new, pairs = _best(new, k), [], 0
+                new.append(best)
+
+        for part in (b.slice(i, 4096) for b in batches for i in range(0, b.num_rows, 4096)):
+            ords, w = part.column(0).to_numpy(), part.column(2).to_numpy()
+            cut = np.diff(ords, prepend=ords[0]) != 0
+            doc = np.cumsum(cut)
+            own = ords[np.concatenate(([0], np.flatnonzero(cut)))]
+            names = part.column(1).dictionary_encode()
+            known = np.array([*(place.get(g, -1) for g in names.dictionary.to_pylist()), -1])
+            found = known[names.indices.fill_null(len(known) - 1).to_numpy()]
+            squares, here = np.bincount(doc, w * w, len(own)), found >= 0
+            found = found[here]
+            size = starts[found + 1] - starts[found]
+            at = np.repeat(starts[found] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            dots = np.bincount(np.repeat(doc[here], size) * len(ids) + who[at], weight[at] * np.repeat(w[here], size), len(own) * len(ids)).reshape(len(own), -1).astype(float)  # without entries it counts in integers
+            if last == own[0]:
+                squares[0] += last_square
+                dots[0] += last_dots
+            elif last is not None:
+                scored(np.array([last]), np.array([last_square]), last_dots[None])
+            scored(own[:-1], squares[:-1], dots[:-1])
+            last, last_square, last_dots = own[-1], squares[-1], dots[-1]
+        if last is not None:
+            scored(np.array([last]), np.array([last_square]), last_dots[None])
+        q, found, score = _best(new, k)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(found), pa.array(score)], names=["query_id", "ord", "score"])
+
+    return run
+
+
+def _best(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best (query, ord, score) of each query; ties by ord."""
+    q, ords, score = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((ords, -score, q))
+    first = np.flatnonzero(np.diff(q[order], prepend=-1))
+    order = order[np.arange(len(order)) - np.repeat(first, np.diff(first, append=len(order))) < k]
+    return q[order], ords[order], score[order]
+
+
+def _in_blocks(queries: DataFrame, part: Callable[[list], DataFrame], block: int, spark: SparkSession) -> DataFrame:
+    """The union of ``part`` over the stated queries, ``block`` rows of them at a time."""
+    found, held = None, []
+    for row in queries.toLocalIterator():
+        held.append(row)
+        if len(held) == block:
+            found, held = part(held) if found is None else found.union(part(held)), []
+    if held:
+        found = part(held) if found is None else found.union(part(held))
+    return spark.createDataFrame([], "query_id long, ord long, score double") if found is None else found
 
 
 def cosine(vectors: DataFrame, queries: DataFrame, k: int, group: str | None = None, block: int = 4096) -> DataFrame:
@@ -89,7 +172,6 @@ def cosine(vectors: DataFrame, queries: DataFrame, k: int, group: str | None = N
     above 0 only and with ``group`` among the query's group. Queries are taken in blocks of a fixed size, each a
     matrix that is sent to the workers; a batch of rows is one product, of which k a query leave the task."""
     names = ["query_id", "vector", *([group] if group else [])]
-    found, held = None, []
 
     def search(rows: list) -> DataFrame:
         ids = np.array([r.query_id for r in rows])
@@ -115,15 +197,8 @@ def cosine(vectors: DataFrame, queries: DataFrame, k: int, group: str | None = N
         rows_in = vectors.filter(F.col("vector").isNotNull()).select("ord", F.col("vector").cast("array<double>"), *([group] if group else []))
         return rows_in.mapInArrow(run, "query_id long, ord long, score double")
 
-    for row in queries.select(*names).filter(F.col("vector").isNotNull()).toLocalIterator():
-        held.append(row)
-        if len(held) == block:
-            part, held = search(held), []
-            found = part if found is None else found.union(part)
-    if held or found is None:
-        part = search(held) if held else vectors.sparkSession.createDataFrame([], "query_id long, ord long, score double")
-        found = part if found is None else found.union(part)
-    return top(found, k)
+    stated = queries.select(*names).filter(F.col("vector").isNotNull())
+    return top(_in_blocks(stated, search, block, vectors.sparkSession), k)
 
 
 def fuse(channels: dict[str, DataFrame], own: Retrieval = Retrieval()) -> DataFrame:

@@ -95,3 +95,44 @@ def test_plans_stay_in_the_jvm(spark):
 
     plan = catalog.QUERIES["bm25_topk"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Cartesian" not in plan and "WindowGroupLimit" in plan
+
+
+def test_char_channel_equals_brute_force(spark):
+    """Nulls, blanks, repeated and short texts; a document that spans batches; blocks of one query."""
+    import math
+
+    from evidora.operators import index, retrieve
+
+    texts = {1: "the cat sat", 2: None, 3: "  ", 4: "the cat sat", 5: "a", 6: "İx ß the " * 40, 7: " ".join(f"w{i}q" for i in range(3000))}
+    asked = {1: "cat", 2: "", 3: "a w12q", 4: None}
+
+    def weights(text):
+        counts = {}
+        for word in (text or "").lower().split():
+            padded = f" {word} "
+            found = [padded] if len(padded) <= 3 else [padded[i : i + n] for n in (3, 4, 5) for i in range(len(padded) - n + 1)]
+            for g in found:
+                counts[g] = counts.get(g, 0) + 1
+        return {g: 1 + math.log(n) for g, n in counts.items()}
+
+    own = {k: weights(t) for k, t in texts.items()}
+    df = {}
+    for w in own.values():
+        for g in w:
+            df[g] = df.get(g, 0) + 1
+    idf = {g: math.log((1 + len(texts)) / (1 + n)) + 1 for g, n in df.items()}
+    norm = lambda w: math.sqrt(sum((x * idf[g]) ** 2 for g, x in w.items() if g in idf))
+    expected = set()
+    for q, text in asked.items():
+        wq = weights(text)
+        scores = [(round(sum(x * idf[g] * w[g] * idf[g] for g, x in wq.items() if g in w) / (norm(w) * norm(wq)), 6), o) for o, w in own.items() if w and norm(wq)]
+        best = sorted(((s, o) for s, o in scores if s > 0), key=lambda x: (-x[0], x[1]))[:2]
+        expected |= {(q, o, s, r) for r, (s, o) in enumerate(best, 1)}
+    docs = spark.createDataFrame(list(texts.items()), "ord long, text string")
+    queries = spark.createDataFrame(list(asked.items()), "query_id long, query string")
+    for block in (1, 1024):
+        got = {(r.query_id, r.ord, r.score, r["rank"]) for r in retrieve.char_channel(docs, queries, 2, block).collect()}
+        assert got == expected
+    assert retrieve.char_channel(docs.limit(0), queries, 2).count() == 0
+    assert retrieve.char_channel(docs, queries.limit(0), 2).count() == 0
+    assert index.char_grams("a") == [" a "]
