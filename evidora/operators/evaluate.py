@@ -117,7 +117,7 @@ def bootstrap(items: DataFrame, n_boot: int = 4000, seed: int = 0) -> DataFrame:
         return items.sparkSession.createDataFrame([(0.0, 0.0, 0.0)], "observed double, low double, high double")
     numbered = clusters.withColumn("at", F.row_number().over(Window.orderBy("cluster")) - 1)
     # a cluster's count in a resample is Poisson in the limit; here each resample draws `size` places exactly
-    draws = items.sparkSession.range(n_boot).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("k"))
+    draws = items.sparkSession.range(n_boot * size).select(F.floor(F.col("id") / F.lit(size)).alias("b"), F.pmod(F.col("id"), F.lit(size)).cast("int").alias("k"))
     drawn = draws.select("b", F.pmod(F.xxhash64(F.lit(seed), "b", "k"), F.lit(size)).cast("int").alias("at"))
     means = drawn.groupBy("b", "at").count().join(numbered, "at").groupBy("b").agg((F.sum(F.col("count") * F.col("d")) / F.sum(F.col("count") * F.col("n"))).alias("m"))
     bounds = means.agg(F.array_sort(F.collect_list("m")).alias("m"))  # n_boot numbers

@@ -83,12 +83,14 @@ def pack_sentences(sentences: Column, max_chars: int = 600, overlap: int = 1) ->
 
 
 def chunks(sections: DataFrame, max_chars: int = 600, overlap: int = 1) -> DataFrame:
-    """One row per chunk of parsed sections, in order."""
+    """One row per chunk of parsed sections. chunk_ord orders chunks by document and place in it: numbers are counted
+    in each document and leave gaps between documents, so that no task orders all chunks."""
     packed = sections.filter("text <> ''").select("*", F.posexplode(pack_sentences(T.sentences(F.col("text")), max_chars, overlap)).alias("at", "group")).drop("text")
     n = F.col("at") + 1
     label = T.citation(F.col("doc_id"), F.col("section"))
     made = packed.select("ord", "place", "doc_id", "section", "heading", "doc_title", n.alias("n"), F.array_join("group", " ").alias("text"), label.alias("citation"), F.concat(label, F.lit(" #"), n.cast("string")).alias("chunk_id"))
-    return made.withColumn("chunk_ord", F.row_number().over(Window.orderBy("ord", "place", "n")))
+    within = F.row_number().over(Window.partitionBy("ord").orderBy("place", "n"))
+    return made.withColumn("chunk_ord", F.col("ord") * F.lit(1 << 32) + within)
 
 
 def load_corpus(spark: SparkSession, path: str, max_chars: int = 600) -> DataFrame:

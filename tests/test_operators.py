@@ -136,3 +136,35 @@ def test_char_channel_equals_brute_force(spark):
     assert retrieve.char_channel(docs.limit(0), queries, 2).count() == 0
     assert retrieve.char_channel(docs, queries.limit(0), 2).count() == 0
     assert index.char_grams("a") == [" a "]
+
+
+def test_quality_edges(spark):
+    """Empty tables, one class only, ties, nulls and repeated rows."""
+    import pytest
+
+    from evidora.operators import quality as Q
+
+    scored = spark.createDataFrame([(0.5, True), (0.5, False), (0.9, True), (0.1, False), (0.1, False)], "score double, label boolean")
+    assert Q.auc(scored).first() == (2, 3, round((3 + 2.5) / 6, 6))
+    assert Q.auc(scored.filter("label")).first() == (2, 0, None)
+    assert Q.auc(scored.limit(0)).first() == (0, 0, None)
+    grid = {r.threshold: r for r in Q.f1_grid(scored, [0.0, 0.5, 1.0]).collect()}
+    assert (grid[1.0].precision, grid[1.0].recall, grid[1.0].f1, grid[1.0].missed) == (0.0, 0.0, 0.0, 2)
+    assert grid[0.5].recall == 1.0 and grid[0.5].premature == 1
+    chunks = spark.createDataFrame([(1, 1, "alpha"), (1, 2, None), (1, 3, "beta gamma"), (2, 1, "alpha"), (3, 1, "x")], "session_id long, seq int, text string")
+    intents = spark.createDataFrame([(1, "alpha beta gamma"), (1, "alpha beta gamma"), (2, "delta"), (3, "the"), (3, None)], "session_id long, intent string")
+    assert {(r.session_id, r.seq, r.ready) for r in Q.ready_rows(chunks, intents).collect()} == {(1, 1, False), (1, 2, False), (1, 3, True), (2, 1, False)}
+    assert Q.ready_rows(chunks, intents.limit(0)).count() == 0
+    trace = spark.createDataFrame([(None, None, None, None), ("a", 1.0, "s", None), ("z", 1.0, "s", "u")], "event string, ts_ms double, session_id string, utterance_id string")
+    assert {(r.event, r.problem, r.n) for r in Q.log_problems(trace, ("a",), ("a",)).collect()} == {(None, "no event", 1), (None, "no time", 1), (None, "no session", 1), ("a", "no utterance", 1), ("z", "unknown event", 1)}
+    rows = spark.createDataFrame([(float(i), i % 2, i > 10 or i == 3) for i in range(20)], "x double, y int, label boolean")
+    bias, weights, probability = Q.fit_gate(rows, ["x", "y"], "label")
+    assert weights[0] > 0 and Q.auc(rows.select(probability().alias("score"), "label")).first().auc > 0.85
+    with pytest.raises(ValueError):
+        Q.fit_gate(rows.filter("label"), ["x", "y"], "label")
+
+
+def test_bootstrap_of_known_difference(spark):
+    rows = spark.createDataFrame([(f"c{i}", 1, 0) for i in range(50)], "cluster string, a int, b int")
+    assert evaluate.bootstrap(rows, 200).first() == (1.0, 1.0, 1.0)
+    assert evaluate.bootstrap(rows.limit(0)).first() == (0.0, 0.0, 0.0)
