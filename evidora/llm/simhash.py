@@ -20,7 +20,9 @@ Repeated rows stay. Columns other than the two named are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -34,52 +36,48 @@ LEAF = 512  # pairs of leaves that are compared outright
 CHUNK = 1 << 16  # pairs of leaves compared at once
 NODES = 1 << 13  # node pairs expanded at once; the walk holds a few times as many on each of 64 levels
 HELD = 1 << 20  # 64-bit words of fingerprints that are searched together
+MARKS = [f"b{k}" for k in range(8)]
 
 
-def fingerprint(text: str | None, width: int = 4, words: int = 1) -> np.ndarray:
-    """The fingerprint of one text as ``words`` unsigned 64-bit numbers. The first hash of a
-    shingle is its XXH64; further ones are that hash mixed again."""
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """XXH64 of each shingle of a text, in order and with repeats."""
     import xxhash
 
     found = (text or "").encode().lower().split()
     if not found:
-        return np.zeros(words, "<u8")
+        return np.zeros(0, "<u8")
     joined = b" ".join(found)
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(found) - width + 1)
     digest = xxhash.xxh64_intdigest
     spans = zip(starts[:n].tolist(), ends[min(width, len(found)) - 1 :].tolist(), strict=True)
-    base = np.fromiter((digest(joined[a:b], 42) for a, b in spans), "<u8", n)
-    set_in = np.zeros(64 * words, np.int64)
+    return np.fromiter((digest(joined[a:b], 42) for a, b in spans), "<u8", n)
+
+
+def fingerprint(text: str | None, width: int = 4) -> np.ndarray:
+    """The fingerprint of one text as an unsigned 64-bit number."""
+    base = shingle_hashes(text, width)
+    n = len(base)
+    set_in = np.zeros(64, np.int64)
     for lo in range(0, n, 255):  # 255 rows at most, so that their sums fit a byte
         part = base[lo : lo + 255]
-        hashes = part if words == 1 else np.stack([part, *(mixed(part, k) for k in range(1, words))], axis=1)
-        bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little")
+        bits = np.unpackbits(part.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little")
         set_in += np.add.reduce(bits, axis=0, dtype=np.uint8)
     return np.packbits(set_in * 2 > n, bitorder="little").view("<u8")
 
 
-def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
-    """Another hash for each hash: a 64-bit finaliser of shift-multiply steps."""
-    z = hashes + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return z ^ (z >> np.uint64(31))
-
-
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, words: int = 1) -> DataFrame:
-    """(id, fp0, fp1, ...): the bits as signed longs."""
-    names = [f"fp{k}" for k in range(words)]
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
+    """(id, fp0): the bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(t.as_py(), width, words) for t in batch.column(1)]
-            rows = np.stack(found).view(np.int64) if found else np.zeros((0, words), np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(rows[:, k].copy()) for k in range(words))], names=["id", *names])
+            found = [fingerprint(t.as_py(), width) for t in batch.column(1)]
+            bits = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits)], names=["id", "fp0"])
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, "id long, " + ", ".join(f"{x} long" for x in names))
+    return source.mapInArrow(run, "id long, fp0 long")
 
 
 class Forest:
@@ -198,19 +196,6 @@ def exact_buckets(classes: DataFrame, budget: int, split_rows: int = 8192) -> Da
     return dealt.join(large, "key", "left").select("key", F.explode(sub).alias("sub"), "fp0")
 
 
-def banded_buckets(classes: DataFrame, words: int, bands: int, bits: int) -> DataFrame:
-    """Rows (key, sub, fp0, ...): a bucket for each of ``bands`` choices of ``bits`` bits."""
-    draw = np.random.default_rng(42)
-    names = [f"fp{k}" for k in range(words)]
-    keys = []
-    for k in range(bands):
-        key = F.lit(k)
-        for at in draw.choice(64 * words, bits, replace=False).tolist():
-            key = F.shiftleft(key, 1).bitwiseOR(_block(F.col(names[at // 64]), at % 64, 1))
-        keys.append(key.cast("long"))
-    return classes.select(F.explode(F.array(*keys)).alias("key"), F.lit(0).cast("long").alias("sub"), *names)
-
-
 def trie_links(bucketed: DataFrame, words: int, budget: int, prune: int) -> DataFrame:
     """Links (a, b) between values of fp0 that hold the components of the fingerprints within
     ``budget`` differing bits of a shared bucket together."""
@@ -278,26 +263,199 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return classed(prints, trie_links(exact_buckets(prints.select("fp0").distinct(), budget), 1, budget, budget))
 
 
+def frequent_shingles(docs: DataFrame, text_col: str, width: int, one_in: int = 64, least: int = 16, most: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes in order, rank of each) of the commonest shingles in a sample of texts, the rarest
+    with rank 0. They only order shingles; results do not depend on them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(text.as_py(), width)).view(np.int64))], names=["key"])
+
+    sample = docs.select(F.col(text_col).alias("text")).filter(F.pmod(F.xxhash64("text"), F.lit(one_in)) == 0)
+    counts = sample.mapInArrow(run, "key long").groupBy("key").count().filter(F.col("count") >= least)
+    rows = counts.orderBy(F.desc("count"), "key").limit(most).collect()
+    keys = np.array([r["key"] for r in reversed(rows)], np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], order
+
+
+def prefix(shingles: np.ndarray, similarity: Fraction, hot: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first shingles of a sorted set in an order that all texts share: frequent ones last,
+    others by hash. Sets with the similarity share one of them at least."""
+    n = len(shingles)
+    k = n - math.ceil(similarity * n) + 1 if n else 0
+    if not len(hot):
+        return shingles[:k]
+    at = np.minimum(np.searchsorted(hot, shingles), len(hot) - 1)
+    known = hot[at] == shingles
+    cold = shingles[~known][:k]
+    return np.concatenate((cold, shingles[known][np.argsort(rank[at[known]])][: k - len(cold)]))
+
+
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int, similarity: Fraction) -> DataFrame:
+    """(id, text_hash, fp0, size, b0 ... b7, keys): fp0 a digest of the set of shingles, b the
+    parity of its shingles in 512 places, keys its prefix."""
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, text_col, width))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        hot, rank = frequent.value
+        for batch in batches:
+            n = batch.num_rows
+            digests, sizes, marks, keys = np.zeros(n, np.uint64), np.zeros(n, np.int64), np.zeros((n, 8), np.uint64), []
+            for i, text in enumerate(batch.column(2)):
+                own = np.unique(shingle_hashes(text.as_py(), width))
+                digests[i], sizes[i] = xxhash.xxh64_intdigest(own.tobytes(), 42), len(own)
+                parity = np.bincount((own & np.uint64(511)).astype(np.int64), minlength=512) & 1
+                marks[i] = np.packbits(parity.astype(np.uint8), bitorder="little").view("<u8")
+                keys.append(prefix(own, similarity, hot, rank).view(np.int64))
+            offsets = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
+            columns = [pa.array(digests.view(np.int64)), pa.array(sizes), *(pa.array(marks[:, k].copy().view(np.int64)) for k in range(8)), lists]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=["id", "text_hash", "fp0", "size", *MARKS, "keys"])
+
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    return source.mapInArrow(run, f"id long, text_hash long, fp0 long, size long, {', '.join(f'{x} long' for x in MARKS)}, keys array<long>")
+
+
+def stars(sets: DataFrame) -> DataFrame:
+    """(key, a, lead): each set in the bucket of a prefix shingle with the bucket's first one. A
+    bucket's order is one of four, so that a large group has several leads."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            key, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if not len(key):
+                continue
+            lead = fp[np.maximum.accumulate(np.where(np.concatenate(([True], key[1:] != key[:-1])), np.arange(len(key)), 0))]
+            if last and last[0] == key[0]:
+                lead = np.where(key == key[0], last[1], lead)
+            last = key[-1], lead[-1]
+            # equal sets of a bucket stand together
+            new = (fp != lead) & np.concatenate(([True], (fp[1:] != fp[:-1]) | (key[1:] != key[:-1])))
+            yield pa.RecordBatch.from_arrays([pa.array(x[new]) for x in (key, fp, lead)], names=["key", "a", "lead"])
+
+    rows = sets.select(F.explode("keys").alias("key"), "fp0").repartition("key")
+    turned = F.col("fp0").bitwiseXOR(F.element_at(F.array(*(F.lit(x) for x in (0, 0x55 << 56, 0x33 << 56, 0x0F << 56))), (F.pmod("key", F.lit(4)) + 1).cast("int")))
+    return rows.withColumn("turned", turned).sortWithinPartitions("key", "turned").select("key", "fp0").mapInArrow(run, "key long, a long, lead long")
+
+
+def fits(x: str, y: str, similarity: Fraction) -> Column:
+    """Whether sizes and parities allow the similarity; differing parities never outnumber the
+    shingles in one set only."""
+    total = F.col(f"{x}.size") + F.col(f"{y}.size")
+    differ = sum((F.bit_count(F.col(f"{x}.{m}").bitwiseXOR(F.col(f"{y}.{m}"))) for m in MARKS), F.lit(0))
+    p, q = similarity.numerator, similarity.denominator
+    return (F.least(F.col(f"{x}.size"), F.col(f"{y}.size")) * q >= F.greatest(F.col(f"{x}.size"), F.col(f"{y}.size")) * p) & (differ * (p + q) <= total * (q - p))
+
+
+def open_pairs(found: DataFrame, classes: DataFrame, member: DataFrame, similarity: Fraction, most: int | None) -> DataFrame:
+    """Pairs (a, b) of a bucket that sizes and parities allow and that are in two components;
+    the ``most`` nearest of each set in a bucket, or all."""
+    p, q = similarity.numerator, similarity.denominator
+    root = member.select(F.col("node"), "root")
+    ra, rb = root.toDF("a", "ra"), root.toDF("lead", "rb")
+    known = found.join(ra, "a", "left").join(rb, "lead", "left")
+    unsettled = known.filter(F.coalesce("ra", "a") != F.coalesce("rb", "lead")).select("key").distinct()
+    rows = found.join(unsettled, "key", "left_semi")
+    each = rows.select("key", F.col("a").alias("fp0")).union(rows.select("key", F.col("lead").alias("fp0")).distinct())
+    full = each.join(classes.drop("text_hash"), "fp0").join(root.toDF("fp0", "root"), "fp0", "left").withColumn("root", F.coalesce("root", "fp0"))
+
+    def pairs(fp: np.ndarray, size: np.ndarray, root: np.ndarray, marks: np.ndarray) -> Iterator[np.ndarray]:
+        names, inverse, count = np.unique(root, return_inverse=True, return_counts=True)
+        if len(names) < 2:
+            return
+        for i in np.flatnonzero(inverse != np.argmax(count)):
+            lo = np.searchsorted(size, -(-size[i] * p // q))
+            hi = np.searchsorted(size, size[i] * q // p, side="right")
+            differ = np.bitwise_count(marks[lo:hi] ^ marks[i]).sum(axis=1, dtype=np.int64)
+            near = np.flatnonzero((root[lo:hi] != root[i]) & (differ * (p + q) <= (size[lo:hi] + size[i]) * (q - p)))
+            if most is not None and len(near) > most:
+                near = near[np.argpartition(differ[near], most)[:most]]
+            if len(near):
+                other = fp[lo:hi][near]
+                yield np.stack((np.minimum(other, fp[i]), np.maximum(other, fp[i])))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def bucket(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            fp, size, root, *marks = (np.concatenate(x) for x in zip(*held, strict=True))
+            for a, b in pairs(fp, size, root, np.stack(marks, axis=1).view(np.uint64)):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        key, held = None, []
+        for batch in batches:
+            keys, columns = batch.column(0).to_numpy(), [c.to_numpy() for c in batch.columns[1:]]
+            cuts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True]))) if len(keys) else np.zeros(1, int)
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if held and keys[lo] != key:
+                    yield from bucket(held)
+                    held = []
+                key = keys[lo]
+                held.append([c[lo:hi] for c in columns])
+        if held:
+            yield from bucket(held)
+
+    return full.select("key", "fp0", "size", "root", *MARKS).repartition("key").sortWithinPartitions("key", "size").mapInArrow(run, "a long, b long").distinct()
+
+
+def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text_col: str, width: int, similarity: Fraction) -> DataFrame:
+    """The pairs (a, b) whose sets have the similarity, counted from their texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, lead = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            links = []
+            for a, b, salt, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = np.unique(shingle_hashes(text, width))
+                if a == b:
+                    last, lead = (b, salt), own
+                    continue
+                assert last == (b, salt)
+                both = len(np.intersect1d(own, lead, assume_unique=True))
+                if both >= similarity * (len(own) + len(lead) - both):
+                    links.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("a"), F.lit(16)).alias("salt"))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp0")).distinct().join(classes.select("fp0", "text_hash"), "fp0")
+    source = docs.select(F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    texts = source.join(wanted, "text_hash").dropDuplicates(["fp0"]).select("fp0", "text")
+    members = dealt.join(texts, dealt["a"] == texts["fp0"]).select("a", "b", "salt", "text")
+    leads = dealt.select(F.col("b").alias("a"), "b", "salt").distinct().join(texts.withColumnRenamed("fp0", "a"), "a").select("a", "b", "salt", "text")
+    rows = leads.union(members).repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("a") != F.col("b"))
+    return rows.mapInArrow(run, "a long, b long")
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Groups of texts whose shingle sets have a Jaccard similarity of ``similarity`` or more, as
-    512-bit fingerprints measure it: (doc_id, fp0, component_id).
-
-    A similarity s is a cosine of 2s / (1 + s), and each bit of two fingerprints differs with
-    probability p = acos(cosine) / pi. Pairs link up to 512 p bits and 1.3 deviations more, so
-    that nine in ten pairs at the threshold itself pass and nearly all above. Buckets
-    are 12 bits at least, more as the input grows so that a bucket stays near 256 rows, and there
-    are as many bands as find 97 in 100 pairs at the threshold."""
-    words, bits = 8, 512
-    prints = written(fingerprints(docs, id_col, text_col, width, words), "prints")
-    names = [f"fp{k}" for k in range(words)]
-    classes = prints.select(*names).distinct()
-    differ = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    budget = int(bits * differ + 1.3 * np.sqrt(bits * differ * (1 - differ)))
-    band = max(12, int(np.log2(max(1, classes.count()))) - 8)
-    bands = int(np.ceil(np.log(0.03) / np.log1p(-((1 - differ) ** band))))
-    prune = int(64 * differ + 4 * np.sqrt(64 * differ * (1 - differ)))
-    links = trie_links(banded_buckets(classes, words, bands, band), words, budget, prune)
-    return classed(prints.select("id", "fp0"), links)
+    """Groups of texts whose shingle sets have a Jaccard similarity of ``similarity`` or more:
+    (doc_id, fp0, component_id), fp0 a digest of the set. Every link is counted from the
+    texts and none is missed (shingles are compared as 64-bit hashes).
+
+    Sets with the similarity share a shingle of their prefixes, which names their buckets. Each
+    set is first compared with the lead of its buckets, so that a dense group of n sets costs about n
+    comparisons. Buckets that still hold several components then give their nearest pairs, and
+    in the end every pair of two components that sizes and parities allow."""
+    least = Fraction(str(similarity))
+    sets = written(shingle_sets(docs, id_col, text_col, width, least), "sets")
+    classes = written(sets.groupBy("fp0").agg(F.min("text_hash").alias("text_hash"), *(F.first(x).alias(x) for x in ("size", *MARKS))), "classes")
+    found = written(stars(sets), "stars")
+    x, y = classes.alias("x"), classes.alias("y")
+    first = found.select("a", F.col("lead").alias("b")).distinct()
+    tried = written(first.join(x, F.col("a") == F.col("x.fp0")).join(y, F.col("b") == F.col("y.fp0")).filter(fits("x", "y", least)).select("a", "b"), "pairs")
+    links = written(confirmed(tried, classes, docs, text_col, width, least), "links")
+    for most in (4, None):
+        both = tried.union(tried.select("b", "a"))
+        new = written(open_pairs(found, classes, components(links), least, most).join(both, ["a", "b"], "left_anti"), "pairs")
+        if new.isEmpty():
+            if most is None:
+                break
+            continue
+        links = written(links.union(confirmed(new, classes, docs, text_col, width, least)), "links")
+        tried = tried.union(new)
+    return classed(sets.select("id", "fp0"), links)
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -82,3 +82,30 @@ def test_conversations(spark):
     got = chat.repair(spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, part int")).collect()
     assert sum(r.action != "insert" for r in got) == len(rows)
     assert chat.repair(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_similar_sets_of_shingles(spark):
+    """Repeats inside a text and a shared phrase do not count; every link at 0.8 does, none below."""
+    import random
+
+    draw = random.Random(3)
+    words = [f"q{k}" for k in range(604)]
+    phrase = [f"p{k}" for k in range(24)]
+    repeated = words + [w for _ in range(20) for w in words[:9]]
+    texts = [words, repeated, phrase * 10 + [f"l{k}" for k in range(254)], phrase * 10 + [f"r{k}" for k in range(254)]]
+    for n in (40, 300):
+        for g in range(12):
+            base = [f"g{n}_{g}_{k}" for k in range(n)]
+            for _ in range(6):
+                at = draw.sample(range(n), draw.randrange(1 + n // 40))
+                texts.append([f"x{draw.random()}" if k in at else w for k, w in enumerate(base)])
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    least = list(range(len(texts)))
+    links = [(a, b) for a in least for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    for _ in least:
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+    assert got == dict(enumerate(least))
+    assert got[0] == got[1] and got[2] != got[3]
