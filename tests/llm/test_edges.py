@@ -109,3 +109,27 @@ def test_similar_sets_of_shingles(spark):
             least[a] = least[b] = min(least[a], least[b])
     assert got == dict(enumerate(least))
     assert got[0] == got[1] and got[2] != got[3]
+
+
+def test_mixed_texts_fail_in_any_order(spark):
+    """Encoded data is found wherever it stands: after prose, in a tail, in a third of a long text or in a short one."""
+    import base64
+    import random
+
+    draw = random.Random(7)
+    syllables = "ta ren lo mi sor an ke du pel in ga tor es vi".split()
+
+    def prose(n):
+        made = ""
+        while len(made) < n:
+            made += "".join(draw.choices(syllables, k=draw.randrange(1, 4))) + " "
+        return made[:n]
+
+    def junk(n):
+        return base64.b64encode(draw.randbytes(n)).decode()[:n] + " "
+
+    clean = [prose(n) for n in (600, 1500, 3000, 7000, 24000)]
+    mixed = [prose(4096) + junk(3500), junk(3500) + prose(4096), prose(1600) + junk(1400), "".join(x for _ in range(2) for x in (prose(8192), junk(4096)))]
+    rows = [(k, x) for k, x in enumerate(clean + mixed)]
+    got = {r.id: (r.base_failed, r.kept) for r in quality_rules.measure(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k] for k, _ in rows] == [(False, True)] * len(clean) + [(False, False)] * len(mixed)
