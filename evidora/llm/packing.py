@@ -33,7 +33,7 @@ from evidora.llm.shared import written
 from evidora.session import table
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PACKED = f"{PIECES}, sequence_id long, offset long, free int"
+PACKED = f"{PIECES}, row long, sequence_id long, offset long, free int"
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -250,14 +250,14 @@ def island_packer(capacity: int, slack: int, epoch: int, elite: list[tuple[int,
     """The function that packs one island's pieces."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable", ignore_index=True)
+        pdf = pdf.sort_values(["length", "doc_id", "piece", "row"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
         lengths = pdf["length"].tolist()
         best = evolve(lengths, capacity, slack, elite, seed=int(key[0]))
         sequence, offset, free = (np.zeros(len(pdf), np.int64) for _ in range(3))
         for b, members in enumerate(best.bins):
             at = 0
             for i in members:
-                sequence[i], offset[i], free[i] = (epoch << 56) + (int(key[0]) << 16) + b, at, best.free[b]
+                sequence[i], offset[i], free[i] = (epoch << 56) + (int(key[0]) << 24) + b, at, best.free[b]
                 at += lengths[i]
         return pdf.drop(columns="island").assign(sequence_id=sequence, offset=offset, free=free.astype("int32"))
 
@@ -265,7 +265,11 @@ def island_packer(capacity: int, slack: int, epoch: int, elite: list[tuple[int,
 
 
 def pack(pieces: DataFrame, capacity: int = 4096, island: int = 6000, slack: int = 4, elites: int = 128) -> DataFrame:
-    """The pieces with sequence_id and offset."""
+    """The pieces with sequence_id and offset. Islands are dealt by ``row``, a number of each piece
+    that must be stored, so that pieces of one id or none spread like any others."""
+    columns = pieces.columns
+    if "row" not in columns:
+        pieces = written(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
     whole = pieces.filter(F.col("length") == capacity)
     whole = whole.withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
     done, rest = [whole], pieces.filter(F.col("length") < capacity)
@@ -273,7 +277,7 @@ def pack(pieces: DataFrame, capacity: int = 4096, island: int = 6000, slack: int
     while n:
         islands = -(-n // island)
         last = islands == 1 or epoch >= 8
-        dealt = rest.withColumn("island", F.pmod(F.xxhash64("doc_id", "piece", F.lit(epoch)), F.lit(islands)))
+        dealt = rest.withColumn("island", F.pmod(F.xxhash64("row", F.lit(epoch)), F.lit(islands)))
 
         packed = written(dealt.groupBy("island").applyInPandas(island_packer(capacity, slack, epoch, elite), PACKED), "packed")
         if last:
@@ -291,11 +295,12 @@ def pack(pieces: DataFrame, capacity: int = 4096, island: int = 6000, slack: int
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out
+    return out.select(*(c for c in columns if c != "row"), "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return pack(written(tokenise(docs, path or tokenizer_path(), capacity, 1, id_col, text_col), "pieces"), capacity)
+    pieces = tokenise(docs, path or tokenizer_path(), capacity, 1, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
+    return pack(written(pieces, "pieces"), capacity)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

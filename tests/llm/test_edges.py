@@ -1,8 +1,10 @@
 """Every operator and pipeline stage with nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import hashlib
+import os
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from evidora.llm import chat, classifier, decontaminate, line_dedup, packing, pii, quality_rules, simhash, token_counts, warc
@@ -133,3 +135,28 @@ def test_mixed_texts_fail_in_any_order(spark):
     rows = [(k, x) for k, x in enumerate(clean + mixed)]
     got = {r.id: (r.base_failed, r.kept) for r in quality_rules.measure(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [got[k] for k, _ in rows] == [(False, True)] * len(clean) + [(False, False)] * len(mixed)
+
+
+def test_islands_of_one_id(spark, monkeypatch):
+    """Pieces of one id or none are dealt over islands of the stated size, and each is packed once."""
+    rows = spark.range(9000).select(F.when(F.col("id") < 6000, F.lit(7)).cast("long").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), (F.col("id") % 90 + 5).alias("length"), F.col("id").alias("ids_crc32"))
+    folder = scratch_path(spark, "islands")
+    packer = packing.island_packer
+
+    def noting(*args):
+        run = packer(*args)
+
+        def noted(key, pdf):
+            import os
+            import uuid
+
+            os.makedirs(folder, exist_ok=True)
+            open(f"{folder}/{len(pdf)}-{uuid.uuid4().hex}", "w").close()
+            return run(key, pdf)
+
+        return noted
+
+    monkeypatch.setattr(packing, "island_packer", noting)
+    out = packing.pack(rows, capacity=100, island=1000).toPandas()
+    assert sorted(out.ids_crc32) == list(range(9000)) and out.groupby("sequence_id").length.sum().max() <= 100
+    assert max(int(x.split("-")[0]) for x in os.listdir(folder)) < 1500
