@@ -25,6 +25,7 @@ from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +38,7 @@ CHUNK = 1 << 16  # pairs of leaves compared at once
 NODES = 1 << 13  # node pairs expanded at once; the walk holds a few times as many on each of 64 levels
 HELD = 1 << 20  # 64-bit words of fingerprints that are searched together
 MARKS = [f"b{k}" for k in range(8)]
+WIDE = 1000  # sets of more shingles have parities of their own width
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -293,9 +295,16 @@ def prefix(shingles: np.ndarray, similarity: Fraction, hot: np.ndarray, rank: np
     return np.concatenate((cold, shingles[known][np.argsort(rank[at[known]])][: k - len(cold)]))
 
 
+def parities(shingles: np.ndarray, places: int) -> np.ndarray:
+    """The parity of how many shingles fall into each place, eight places a byte."""
+    count = np.bincount((shingles & np.uint64(places - 1)).astype(np.int64), minlength=places)
+    return np.packbits((count & 1).astype(np.uint8), bitorder="little")
+
+
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int, similarity: Fraction) -> DataFrame:
-    """(id, text_hash, fp0, size, b0 ... b7, keys): fp0 a digest of the set of shingles, b the
-    parity of its shingles in 512 places, keys its prefix."""
+    """(id, text_hash, fp0, size, b0 ... b7, wide, keys): fp0 a digest of the set of shingles, b the
+    parity of its shingles in 512 places, wide that of a large set in as many places as it has
+    shingles or up to twice that, keys its prefix."""
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, text_col, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,19 +314,20 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int, simila
         for batch in batches:
             n = batch.num_rows
             digests, sizes, marks, keys = np.zeros(n, np.uint64), np.zeros(n, np.int64), np.zeros((n, 8), np.uint64), []
+            wide: list[bytes | None] = []
             for i, text in enumerate(batch.column(2)):
                 own = np.unique(shingle_hashes(text.as_py(), width))
                 digests[i], sizes[i] = xxhash.xxh64_intdigest(own.tobytes(), 42), len(own)
-                parity = np.bincount((own & np.uint64(511)).astype(np.int64), minlength=512) & 1
-                marks[i] = np.packbits(parity.astype(np.uint8), bitorder="little").view("<u8")
+                marks[i] = parities(own, 512).view("<u8")
+                wide.append(parities(own, 1 << int(len(own) - 1).bit_length()).tobytes() if len(own) > WIDE else None)
                 keys.append(prefix(own, similarity, hot, rank).view(np.int64))
             offsets = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
-            columns = [pa.array(digests.view(np.int64)), pa.array(sizes), *(pa.array(marks[:, k].copy().view(np.int64)) for k in range(8)), lists]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=["id", "text_hash", "fp0", "size", *MARKS, "keys"])
+            columns = [pa.array(digests.view(np.int64)), pa.array(sizes), *(pa.array(marks[:, k].copy().view(np.int64)) for k in range(8)), pa.array(wide, pa.binary()), lists]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=["id", "text_hash", "fp0", "size", *MARKS, "wide", "keys"])
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, f"id long, text_hash long, fp0 long, size long, {', '.join(f'{x} long' for x in MARKS)}, keys array<long>")
+    return source.mapInArrow(run, f"id long, text_hash long, fp0 long, size long, {', '.join(f'{x} long' for x in MARKS)}, wide binary, keys array<long>")
 
 
 def stars(sets: DataFrame) -> DataFrame:
@@ -343,13 +353,36 @@ def stars(sets: DataFrame) -> DataFrame:
     return rows.withColumn("turned", turned).sortWithinPartitions("key", "turned").select("key", "fp0").mapInArrow(run, "key long, a long, lead long")
 
 
+def differing(x: str, y: str) -> Column:
+    """How many parities differ, which is never more than the shingles in one set only."""
+    return sum((F.bit_count(F.col(f"{x}.{m}").bitwiseXOR(F.col(f"{y}.{m}"))) for m in MARKS), F.lit(0))
+
+
 def fits(x: str, y: str, similarity: Fraction) -> Column:
-    """Whether sizes and parities allow the similarity; differing parities never outnumber the
-    shingles in one set only."""
-    total = F.col(f"{x}.size") + F.col(f"{y}.size")
-    differ = sum((F.bit_count(F.col(f"{x}.{m}").bitwiseXOR(F.col(f"{y}.{m}"))) for m in MARKS), F.lit(0))
+    """Whether sizes and parities allow the similarity."""
     p, q = similarity.numerator, similarity.denominator
-    return (F.least(F.col(f"{x}.size"), F.col(f"{y}.size")) * q >= F.greatest(F.col(f"{x}.size"), F.col(f"{y}.size")) * p) & (differ * (p + q) <= total * (q - p))
+    small, large = (f(F.col(f"{x}.size"), F.col(f"{y}.size")) for f in (F.least, F.greatest))
+    return (small * q >= large * p) & (differing(x, y) * (p + q) <= (small + large) * (q - p))
+
+
+def sieved(pairs: DataFrame, classes: DataFrame, similarity: Fraction) -> DataFrame:
+    """The pairs that the wide parities of large sets allow too."""
+    p, q = similarity.numerator, similarity.denominator
+
+    @F.pandas_udf("boolean")
+    def allowed(x: pd.Series, y: pd.Series, total: pd.Series) -> pd.Series:
+        def one(a: bytes | None, b: bytes | None, n: int) -> bool:
+            if a is None or b is None:
+                return True
+            u, v = sorted((np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)), key=len)
+            folded = np.bitwise_xor.reduce(v.reshape(-1, len(u)), axis=0)
+            return int(np.bitwise_count(u ^ folded).sum(dtype=np.int64)) * (p + q) <= n * (q - p)
+
+        return pd.Series([one(*row) for row in zip(x, y, total, strict=True)], dtype=bool)
+
+    own = classes.select("fp0", "size", "wide")
+    x, y = (own.toDF(k, f"size_{k}", f"wide_{k}") for k in "ab")
+    return pairs.join(x, "a").join(y, "b").filter(allowed("wide_a", "wide_b", F.col("size_a") + F.col("size_b"))).select("a", "b")
 
 
 def open_pairs(found: DataFrame, classes: DataFrame, member: DataFrame, similarity: Fraction, most: int | None) -> DataFrame:
@@ -362,7 +395,7 @@ def open_pairs(found: DataFrame, classes: DataFrame, member: DataFrame, similari
     unsettled = known.filter(F.coalesce("ra", "a") != F.coalesce("rb", "lead")).select("key").distinct()
     rows = found.join(unsettled, "key", "left_semi")
     each = rows.select("key", F.col("a").alias("fp0")).union(rows.select("key", F.col("lead").alias("fp0")).distinct())
-    full = each.join(classes.drop("text_hash"), "fp0").join(root.toDF("fp0", "root"), "fp0", "left").withColumn("root", F.coalesce("root", "fp0"))
+    full = each.join(classes.select("fp0", "size", *MARKS), "fp0").join(root.toDF("fp0", "root"), "fp0", "left").withColumn("root", F.coalesce("root", "fp0"))
 
     def pairs(fp: np.ndarray, size: np.ndarray, root: np.ndarray, marks: np.ndarray) -> Iterator[np.ndarray]:
         names, inverse, count = np.unique(root, return_inverse=True, return_counts=True)
@@ -401,14 +434,17 @@ def open_pairs(found: DataFrame, classes: DataFrame, member: DataFrame, similari
     return full.select("key", "fp0", "size", "root", *MARKS).repartition("key").sortWithinPartitions("key", "size").mapInArrow(run, "a long, b long").distinct()
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text_col: str, width: int, similarity: Fraction) -> DataFrame:
+def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, similarity: Fraction) -> DataFrame:
     """The pairs (a, b) whose sets have the similarity, counted from their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, lead = None, np.zeros(0, np.uint64)
+        seen, last, lead = None, None, np.zeros(0, np.uint64)
         for batch in batches:
             links = []
             for a, b, salt, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (a, b, salt) == seen:  # a repeated row
+                    continue
+                seen = a, b, salt
                 own = np.unique(shingle_hashes(text, width))
                 if a == b:
                     last, lead = (b, salt), own
@@ -420,13 +456,12 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text_col: s
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     dealt = pairs.select("a", "b", F.pmod(F.xxhash64("a"), F.lit(16)).alias("salt"))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp0")).distinct().join(classes.select("fp0", "text_hash"), "fp0")
-    source = docs.select(F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    texts = source.join(wanted, "text_hash").dropDuplicates(["fp0"]).select("fp0", "text")
-    members = dealt.join(texts, dealt["a"] == texts["fp0"]).select("a", "b", "salt", "text")
-    leads = dealt.select(F.col("b").alias("a"), "b", "salt").distinct().join(texts.withColumnRenamed("fp0", "a"), "a").select("a", "b", "salt", "text")
-    rows = leads.union(members).repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("a") != F.col("b"))
-    return rows.mapInArrow(run, "a long, b long")
+    places = dealt.select(F.col("a").alias("fp0"), "b", "salt").union(dealt.select(F.col("b").alias("fp0"), "b", "salt").distinct())
+    wanted = places.groupBy("fp0").agg(F.collect_list(F.struct("b", "salt")).alias("to")).join(classes.select("fp0", "id", "text_hash"), "fp0")
+    source = docs.select(F.xxhash64(text_col).alias("text_hash"), F.col(id_col).cast("long").alias("own_id"), F.col(text_col).alias("text"))
+    texts = source.join(wanted, "text_hash").filter(F.col("own_id").eqNullSafe(F.col("id")))
+    rows = texts.select("fp0", F.explode("to").alias("to"), "text").select(F.col("fp0").alias("a"), "to.b", "to.salt", "text")
+    return rows.repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("a") != F.col("b"), "a").mapInArrow(run, "a long, b long")
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -435,25 +470,28 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts and none is missed (shingles are compared as 64-bit hashes).
 
     Sets with the similarity share a shingle of their prefixes, which names their buckets. Each
-    set is first compared with the lead of its buckets, so that a dense group of n sets costs about n
+    set is first compared with the nearest lead of its buckets, so that a dense group of n sets costs about n
     comparisons. Buckets that still hold several components then give their nearest pairs, and
     in the end every pair of two components that sizes and parities allow."""
     least = Fraction(str(similarity))
     sets = written(shingle_sets(docs, id_col, text_col, width, least), "sets")
-    classes = written(sets.groupBy("fp0").agg(F.min("text_hash").alias("text_hash"), *(F.first(x).alias(x) for x in ("size", *MARKS))), "classes")
+    classes = sets.groupBy("fp0").agg(F.min(F.struct("text_hash", "id", "size", *MARKS, "wide")).alias("r")).select("fp0", "r.*")
+    classes = written(classes, "classes")
     found = written(stars(sets), "stars")
     x, y = classes.alias("x"), classes.alias("y")
-    first = found.select("a", F.col("lead").alias("b")).distinct()
-    tried = written(first.join(x, F.col("a") == F.col("x.fp0")).join(y, F.col("b") == F.col("y.fp0")).filter(fits("x", "y", least)).select("a", "b"), "pairs")
-    links = written(confirmed(tried, classes, docs, text_col, width, least), "links")
+    led = found.select("a", F.col("lead").alias("b")).distinct().join(x, F.col("a") == F.col("x.fp0")).join(y, F.col("b") == F.col("y.fp0"))
+    nearest = led.filter(fits("x", "y", least)).groupBy("a").agg(F.min(F.struct(differing("x", "y").alias("differ"), "b")).alias("r")).select("a", "r.b")
+    tried = written(sieved(nearest, classes, least), "pairs")
+    links = written(confirmed(tried, classes, docs, id_col, text_col, width, least), "links")
     for most in (4, None):
         both = tried.union(tried.select("b", "a"))
-        new = written(open_pairs(found, classes, components(links), least, most).join(both, ["a", "b"], "left_anti"), "pairs")
+        untried = open_pairs(found, classes, components(links), least, most).join(both, ["a", "b"], "left_anti")
+        new = written(sieved(untried, classes, least), "pairs")
         if new.isEmpty():
             if most is None:
                 break
             continue
-        links = written(links.union(confirmed(new, classes, docs, text_col, width, least)), "links")
+        links = written(links.union(confirmed(new, classes, docs, id_col, text_col, width, least)), "links")
         tried = tried.union(new)
     return classed(sets.select("id", "fp0"), links)
 
