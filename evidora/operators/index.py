@@ -117,15 +117,16 @@ def sections(chunks: DataFrame) -> DataFrame:
 class Lsa:
     """Latent semantic vectors: weights log1p(tf) (ln((N+1)/(df+1)) + 1), rows of unit length, and a truncated SVD.
 
-    One distributed pass gives the terms' Gram matrix, whose eigenvectors are the right singular vectors. Terms are the
-    ``vocabulary`` most frequent by document count, which bounds that matrix on the driver."""
+    All terms count, or the ``vocabulary`` most frequent by document count. Up to ``dense`` of them, one distributed pass
+    gives their Gram matrix, whose eigenvectors are the right singular vectors; more go through ``passes`` of block
+    iteration over the rows, which hold terms x (rank + 32) numbers on the driver and in a task."""
 
-    def __init__(self, rank: int = 128, vocabulary: int = 2048):
-        self.rank, self.vocabulary = rank, vocabulary
+    def __init__(self, rank: int = 128, vocabulary: int | None = None, dense: int = 2048, passes: int = 10):
+        self.rank, self.vocabulary, self.dense, self.passes = rank, vocabulary, dense, passes
 
     def _weights(self, docs: DataFrame) -> DataFrame:
         counts = doc_tokens(docs).select("ord", F.explode("own").alias("term")).groupBy("ord", "term").agg(F.count("*").alias("tf"))
-        tfidf = counts.join(F.broadcast(self.terms), "term").withColumn("w", F.log1p("tf") * F.col("idf"))
+        tfidf = counts.join(self.terms, "term").withColumn("w", F.log1p("tf") * F.col("idf"))
         norm = F.sqrt(F.sum(F.col("w") * F.col("w")))
         rows = tfidf.groupBy("ord").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("at", "w")))).alias("m"), norm.alias("norm"))
         return rows.filter("norm > 0").select("ord", F.transform_values("m", lambda _, w: w / F.col("norm")).alias("m"))
@@ -137,16 +138,46 @@ class Lsa:
 
         tokens = doc_tokens(docs)
         n = tokens.count()
-        common = tokens.select(F.explode(F.array_distinct("own")).alias("term")).groupBy("term").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "term").limit(self.vocabulary)
+        common = tokens.select(F.explode(F.array_distinct("own")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+        if self.vocabulary is not None:
+            common = common.orderBy(F.desc("df"), "term").limit(self.vocabulary)
         self.terms = common.select((F.row_number().over(Window.orderBy(F.desc("df"), "term")) - 1).alias("at"), "term", (F.log((F.lit(n) + 1) / (F.col("df") + 1)) + 1).alias("idf"))
         width = self.terms.count()
         rows = self._weights(docs)
         k = max(1, min(self.rank, n - 1, width - 1))
+        if width > self.dense:
+            self.components = self._iterated(rows, width, k)
+            return self
         matrix = RowMatrix(rows.select("m").rdd.map(lambda r: Vectors.sparse(width, sorted(r.m.items()))))
-        gram = matrix.computeGramianMatrix().toArray()  # bounded: vocabulary x vocabulary
+        gram = matrix.computeGramianMatrix().toArray()  # bounded: dense x dense
         self.components = np.ascontiguousarray(np.linalg.eigh(gram)[1][:, ::-1][:, :k])
         return self
 
+    def _iterated(self, rows: DataFrame, width: int, k: int) -> np.ndarray:
+        """The first k right singular vectors of the rows by block iteration from a fixed start."""
+        own = rows.select(F.map_keys("m").alias("at"), F.map_values("m").alias("w")).persist()
+
+        def gram_times(q: np.ndarray) -> np.ndarray:
+            shared = rows.sparkSession.sparkContext.broadcast(q)
+
+            def part(it):
+                total = np.zeros_like(shared.value)
+                for r in it:
+                    at, w = np.asarray(r.at, int), np.asarray(r.w)
+                    total[at] += np.outer(w, w @ shared.value[at])
+                yield total
+
+            made = own.rdd.mapPartitions(part).treeReduce(np.add)
+            shared.destroy()
+            return made
+
+        q = np.linalg.qr(np.random.default_rng(7).standard_normal((width, min(width, k + 32))))[0]
+        for _ in range(self.passes):
+            q = np.linalg.qr(gram_times(q))[0]
+        vectors = np.linalg.eigh(q.T @ gram_times(q))[1]
+        own.unpersist()
+        return np.ascontiguousarray(q @ vectors[:, ::-1][:, :k])
+
     def transform(self, docs: DataFrame) -> DataFrame:
         """(ord, vector) of unit length; texts without a known term are left out."""
         axes = docs.sparkSession.sparkContext.broadcast(self.components)

@@ -135,7 +135,7 @@ def lsa_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest documents in latent space; signs and rotations of an SVD have no SQL."""
     d = docs(spark, sf_dir)
     q = items(spark, sf_dir)
-    lsa = index.Lsa(rank=32, vocabulary=1024).fit(d)
+    lsa = index.Lsa().fit(d)
     near = retrieve.cosine(lsa.transform(d), lsa.transform(q.select(F.col("query_id").alias("ord"), F.col("query").alias("text"))).withColumnRenamed("ord", "query_id"), 10)
     return near.select(F.col("query_id").alias("item_id"), F.col("ord").alias("doc_id"), "rank")
 

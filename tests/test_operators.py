@@ -168,3 +168,24 @@ def test_bootstrap_of_known_difference(spark):
     rows = spark.createDataFrame([(f"c{i}", 1, 0) for i in range(50)], "cluster string, a int, b int")
     assert evaluate.bootstrap(rows, 200).first() == (1.0, 1.0, 1.0)
     assert evaluate.bootstrap(rows.limit(0)).first() == (0.0, 0.0, 0.0)
+
+
+def test_lsa_has_every_term_and_equals_a_full_svd(spark):
+    import random
+
+    import numpy as np
+
+    from evidora.operators import index
+
+    draw = random.Random(2)
+    names = ["".join(draw.choices("bdfgklmnprstvz", k=7)) for _ in range(2600)]
+    texts = [" ".join([*draw.choices(names[40 * (k % 5) : 40 * (k % 5) + 40], k=30), *names[200 + 30 * k : 230 + 30 * k]]) for k in range(80)]
+    docs = spark.createDataFrame([(k, str(k), t) for k, t in enumerate(texts)], "ord long, chunk_id string, text string")
+    lsa = index.Lsa(rank=12).fit(docs)
+    rare = spark.createDataFrame([(k, names[200 + 30 * k + 7]) for k in range(80)], "ord long, text string")
+    assert lsa.terms.count() > 2048 and lsa.transform(rare).count() == 80
+    dense = np.zeros((80, lsa.terms.count()))
+    for r in lsa._weights(docs).collect():
+        dense[r.ord, list(r.m)] = list(r.m.values())
+    best = (np.linalg.svd(dense, compute_uv=False)[:12] ** 2).sum()
+    assert ((dense @ lsa.components) ** 2).sum() > 0.999 * best
