@@ -3,8 +3,8 @@
 Base: emails, IP addresses, payment cards and phone numbers, leftmost and non-overlapping for each
 kind; a match that fails its check is dropped and not tried again.
 
-Bootstrap: seeds are the base spans. An *instance* is an identifier-like token (it has a digit or
-'@', and a letter or five characters at least), masked to its shape: runs of letters, digits and
+Bootstrap: seeds are the base spans. An *instance* is an identifier-like token with a digit or
+'@', or digit groups joined by blanks, brackets, dots and hyphens, masked to its shape: runs of letters, digits and
 other characters. A *pattern* is the two lower-cased words or label marks before it. Patterns and
 instances form a bipartite graph with counts; each round scores a pattern for a kind by the
 weighted share of its instances that score for that kind, and an instance (a shape) by its patterns in turn. Patterns
@@ -34,7 +34,8 @@ LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-TOKEN = re.compile(r"[^\s\"'<>,;=:()\[\]{}]*[0-9@][^\s\"'<>,;=:()\[\]{}]*")
+#: a group of digits with others after blanks, brackets, dots and hyphens, or a token with a digit or '@'
+TOKEN = re.compile(r"(?<![^\s\"'<>,;=:])\+?\(?[0-9]++(?:(?:[ .-]|\)[ .-]?|[ .-]?\()[0-9]++){1,7}+(?![^\s\"'<>,;=:()\[\]{}.!?-])|[^\s\"'<>,;=:()\[\]{}]*[0-9@][^\s\"'<>,;=:()\[\]{}]*")
 LEFT = re.compile(r"([^\W\d_]+|[=:#@+(])\W{0,3}?([^\W\d_]*[=:#@+(]?)[\"'\s]*$")
 MASK = re.compile(r"([A-Za-z]+)|([0-9]+)|([^A-Za-z0-9]+)")
 
@@ -106,7 +107,7 @@ def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[dict]:
             a, b = m.start(), m.end() - (len(m[0]) - len(m[0].rstrip(".!?-")))
             while at < len(spans) and spans[at][1] <= a:
                 at += 1
-            if b - a < 5 or at < len(spans) and spans[at][0] < b:
+            if b <= a or at < len(spans) and spans[at][0] < b:
                 continue
             if pattern := context(text, a):
                 found.append({"kind": None, "pattern": pattern, "shape": shape(text[a:b]), "start": a, "end": b})

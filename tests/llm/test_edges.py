@@ -160,3 +160,13 @@ def test_islands_of_one_id(spark, monkeypatch):
     out = packing.pack(rows, capacity=100, island=1000).toPandas()
     assert sorted(out.ids_crc32) == list(range(9000)) and out.groupby("sequence_id").length.sum().max() <= 100
     assert max(int(x.split("-")[0]) for x in os.listdir(folder)) < 1500
+
+
+def test_pii_grouped_and_short_identifiers(spark):
+    """An accepted slot marks digit groups and short tokens whole."""
+    rows = [(i, f"please call me: +49 30 5550{i:03d} today") for i in range(12)]
+    more = {50: "017 555 7713", 51: "(017) 555-7713", 52: "x7", 53: "4111 1111 1111 1112", 54: "112"}
+    rows += [(k, f"please call me: {v} today") for k, v in more.items()]
+    got = {r.id: r.spans for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts = dict(rows)
+    assert {k: [texts[k][s.start : s.end] for s in got[k]] for k in more} == {k: [v] for k, v in more.items()}
