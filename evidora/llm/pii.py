@@ -98,8 +98,13 @@ def shape(token: str) -> str:
 
 def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[dict]:
     """Identifier-like tokens and the base spans themselves, each with its context; ``kind`` is
-    that of a base span and None for a token that no base span overlaps."""
-    found = [{"kind": k, "pattern": context(text, a), "shape": shape(text[a:b]), "start": a, "end": b} for k, a, b in taken]
+    that of a base span and None for a token that no base span overlaps, ``value`` a base span's hash."""
+    import xxhash
+
+    def value(a: int, b: int) -> int:
+        return xxhash.xxh64_intdigest(text[a:b].encode()) - (1 << 63)
+
+    found = [{"kind": k, "pattern": context(text, a), "shape": shape(text[a:b]), "start": a, "end": b, "value": value(a, b)} for k, a, b in taken]
     if _DIGIT.search(text) or "@" in text:
         spans = sorted((a, b) for _, a, b in taken)
         at = 0
@@ -110,12 +115,12 @@ def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[dict]:
             if b <= a or at < len(spans) and spans[at][0] < b:
                 continue
             if pattern := context(text, a):
-                found.append({"kind": None, "pattern": pattern, "shape": shape(text[a:b]), "start": a, "end": b})
+                found.append({"kind": None, "pattern": pattern, "shape": shape(text[a:b]), "start": a, "end": b, "value": None})
     return found
 
 
-_CANDIDATE = pa.list_(pa.struct([("kind", pa.string()), ("pattern", pa.string()), ("shape", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-SCHEMA = "id long, row1 long, row2 long, candidates array<struct<kind:string,pattern:string,shape:string,start:int,end:int>>"
+_CANDIDATE = pa.list_(pa.struct([("kind", pa.string()), ("pattern", pa.string()), ("shape", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.int64())]))
+SCHEMA = "id long, row1 long, row2 long, candidates array<struct<kind:string,pattern:string,shape:string,start:int,end:int,value:long>>"
 
 
 def extract(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -153,7 +158,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_se
     """One row per row of docs: (id, spans), spans an array of (kind, start, end, base)."""
     rows = written(extract(docs, id_col, text_col), "pii-rows")
     seen = rows.select("row1", "row2", F.explode("candidates").alias("c")).select("row1", "row2", "c.*")
-    patterns = score_patterns(seen).filter((F.col("seeds") >= min_seeds) & (F.col("score") >= accept))
+    values = seen.filter("kind IS NOT NULL AND pattern <> ''").select("pattern", "kind", "value").distinct().groupBy("pattern", "kind").agg(F.count("*").alias("seeds"))
+    scores = score_patterns(seen).drop("seeds")
+    patterns = scores.join(values, ["pattern", "kind"]).filter((F.col("seeds") >= min_seeds) & (F.col("score") >= accept))
     best = patterns.groupBy("pattern").agg(F.max(F.struct("score", "kind")).alias("b")).select("pattern", F.col("b.kind").alias("found"))
     new = seen.filter("kind IS NULL").join(best, "pattern").select("row1", "row2", F.struct(F.col("found").alias("kind"), "start", "end", F.lit(False).alias("base")).alias("s"))
     added = new.groupBy("row1", "row2").agg(F.collect_set("s").alias("added"))

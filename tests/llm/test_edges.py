@@ -170,3 +170,11 @@ def test_pii_grouped_and_short_identifiers(spark):
     got = {r.id: r.spans for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     texts = dict(rows)
     assert {k: [texts[k][s.start : s.end] for s in got[k]] for k in more} == {k: [v] for k, v in more.items()}
+
+
+def test_pii_copies_are_one_seed(spark):
+    """Copies of one text do not make its context a pattern; different seeds do."""
+    for seeds, found in ((1, 0), (12, 1)):
+        rows = [(i, f"please call me: +49 30 5550{i % seeds:03d} today") for i in range(12)] + [(50, "please call me: x7 today")]
+        got = {r.id: r.spans for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert len(got[50]) == found
