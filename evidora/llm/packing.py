@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidora.llm.shared import written
+from evidora.llm.shared import giving_back, written
 from evidora.session import table
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -125,9 +125,9 @@ def tokenise(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1,
         encode, end = WordTokens.of(path).encode, np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows = []
-            docs_in, texts = batch.column(0).to_pylist(), [x.as_py() or "" for x in batch.column(1)]
-            for lo in range(0, len(texts), 512):
-                for doc, found in zip(docs_in[lo : lo + 512], encode(texts[lo : lo + 512]), strict=True):
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                for doc, found in zip(part.column(0).to_pylist(), encode([x.as_py() or "" for x in part.column(1)]), strict=True):
                     ids = found + end
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[at : at + 4 * capacity]
@@ -136,7 +136,7 @@ def tokenise(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1,
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(giving_back(run), PIECES)
 
 
 class Packing:

@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import contextlib
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
@@ -40,6 +42,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def giving_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, with memory of its batches returned when a task ends, since Python workers live on."""
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return once
+
+
 def release(keep: int = 0) -> None:
     """Delete what ``written`` left, but for the last ``keep``. Call it once results are stored;
     it also runs when the process ends."""

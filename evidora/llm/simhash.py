@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidora.llm.shared import written
+from evidora.llm.shared import giving_back, written
 from evidora.session import table
 
 LEAF = 512  # pairs of leaves that are compared outright
@@ -79,7 +79,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits)], names=["id", "fp0"])
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, "id long, fp0 long")
+    return source.mapInArrow(giving_back(run), "id long, fp0 long")
 
 
 class Forest:
@@ -225,7 +225,7 @@ def trie_links(bucketed: DataFrame, words: int, budget: int, prune: int) -> Data
         if held:
             yield links(pa.Table.from_batches(held))
 
-    return bucketed.repartition("key", "sub").sortWithinPartitions("key", "sub").mapInArrow(run, "a long, b long")
+    return bucketed.repartition("key", "sub").sortWithinPartitions("key", "sub").mapInArrow(giving_back(run), "a long, b long")
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -275,7 +275,7 @@ def frequent_shingles(docs: DataFrame, text_col: str, width: int, one_in: int =
                 yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(text.as_py(), width)).view(np.int64))], names=["key"])
 
     sample = docs.select(F.col(text_col).alias("text")).filter(F.pmod(F.xxhash64("text"), F.lit(one_in)) == 0)
-    counts = sample.mapInArrow(run, "key long").groupBy("key").count().filter(F.col("count") >= least)
+    counts = sample.mapInArrow(giving_back(run), "key long").groupBy("key").count().filter(F.col("count") >= least)
     rows = counts.orderBy(F.desc("count"), "key").limit(most).collect()
     keys = np.array([r["key"] for r in reversed(rows)], np.int64).view(np.uint64)
     order = np.argsort(keys)
@@ -327,7 +327,7 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int, simila
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=["id", "text_hash", "fp0", "size", *MARKS, "wide", "keys"])
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, f"id long, text_hash long, fp0 long, size long, {', '.join(f'{x} long' for x in MARKS)}, wide binary, keys array<long>")
+    return source.mapInArrow(giving_back(run), f"id long, text_hash long, fp0 long, size long, {', '.join(f'{x} long' for x in MARKS)}, wide binary, keys array<long>")
 
 
 def stars(sets: DataFrame) -> DataFrame:
@@ -350,7 +350,7 @@ def stars(sets: DataFrame) -> DataFrame:
 
     rows = sets.select(F.explode("keys").alias("key"), "fp0").repartition("key")
     turned = F.col("fp0").bitwiseXOR(F.element_at(F.array(*(F.lit(x) for x in (0, 0x55 << 56, 0x33 << 56, 0x0F << 56))), (F.pmod("key", F.lit(4)) + 1).cast("int")))
-    return rows.withColumn("turned", turned).sortWithinPartitions("key", "turned").select("key", "fp0").mapInArrow(run, "key long, a long, lead long")
+    return rows.withColumn("turned", turned).sortWithinPartitions("key", "turned").select("key", "fp0").mapInArrow(giving_back(run), "key long, a long, lead long")
 
 
 def differing(x: str, y: str) -> Column:
@@ -431,7 +431,25 @@ def open_pairs(found: DataFrame, classes: DataFrame, member: DataFrame, similari
         if held:
             yield from bucket(held)
 
-    return full.select("key", "fp0", "size", "root", *MARKS).repartition("key").sortWithinPartitions("key", "size").mapInArrow(run, "a long, b long").distinct()
+    return full.select("key", "fp0", "size", "root", *MARKS).repartition("key").sortWithinPartitions("key", "size").mapInArrow(giving_back(run), "a long, b long").distinct()
+
+
+def bitmap(keys: DataFrame, key: str, bits: int = 26) -> DataFrame:
+    """(bucket, marks): a bit array of 2**bits places at most, 8 MB, in which the place of each key is set;
+    its size does not depend on the number of keys."""
+    place = F.pmod(F.col(key), F.lit(1 << bits)) + 1
+    return keys.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("marks"))
+
+
+def perhaps(rows: DataFrame, marks: DataFrame, key: str, bits: int = 26) -> DataFrame:
+    """rows with a column ``perhaps``: false if the key is surely none of those marked. Rows are not shuffled;
+    it only saves work, so that what it lets through must be joined exactly."""
+    place = F.pmod(F.col(key), F.lit(1 << bits)) + 1
+    bit = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("marks", (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    found = rows.withColumn("bucket", F.bitmap_bucket_number(place)).join(F.broadcast(marks), "bucket", "left")
+    one = F.expr("1L").bitwiseAND(F.call_function("shiftright", byte, bit.bitwiseAND(F.lit(7)).cast("int")))
+    return found.withColumn("perhaps", F.coalesce(one == 1, F.lit(False))).drop("bucket", "marks")
 
 
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, similarity: Fraction) -> DataFrame:
@@ -441,11 +459,11 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str
         seen, last, lead = None, None, np.zeros(0, np.uint64)
         for batch in batches:
             links = []
-            for a, b, salt, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for a, b, salt, text in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3), strict=True):
                 if (a, b, salt) == seen:  # a repeated row
                     continue
                 seen = a, b, salt
-                own = np.unique(shingle_hashes(text, width))
+                own = np.unique(shingle_hashes(text.as_py(), width))
                 if a == b:
                     last, lead = (b, salt), own
                     continue
@@ -457,17 +475,19 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str
 
     dealt = pairs.select("a", "b", F.pmod(F.xxhash64("a"), F.lit(16)).alias("salt"))
     places = dealt.select(F.col("a").alias("fp0"), "b", "salt").union(dealt.select(F.col("b").alias("fp0"), "b", "salt").distinct())
-    wanted = places.groupBy("fp0").agg(F.collect_list(F.struct("b", "salt")).alias("to")).join(classes.select("fp0", "id", "text_hash"), "fp0")
+    wanted = written(places.groupBy("fp0").agg(F.collect_list(F.struct("b", "salt")).alias("to")).join(classes.select("fp0", "id", "text_hash"), "fp0"), "wanted")
     source = docs.select(F.xxhash64(text_col).alias("text_hash"), F.col(id_col).cast("long").alias("own_id"), F.col(text_col).alias("text"))
-    texts = source.join(wanted, "text_hash").filter(F.col("own_id").eqNullSafe(F.col("id")))
+    # texts that no pair needs stay where they are
+    texts = perhaps(source, bitmap(wanted, "text_hash"), "text_hash").filter("perhaps").join(wanted, "text_hash").filter(F.col("own_id").eqNullSafe(F.col("id")))
     rows = texts.select("fp0", F.explode("to").alias("to"), "text").select(F.col("fp0").alias("a"), "to.b", "to.salt", "text")
-    return rows.repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("a") != F.col("b"), "a").mapInArrow(run, "a long, b long")
+    return rows.repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("a") != F.col("b"), "a").mapInArrow(giving_back(run), "a long, b long")
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Groups of texts whose shingle sets have a Jaccard similarity of ``similarity`` or more:
-    (doc_id, fp0, component_id), fp0 a digest of the set. Every link is counted from the
-    texts and none is missed (shingles are compared as 64-bit hashes).
+def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """Texts whose shingle sets have a Jaccard similarity of ``similarity`` or more: rows (id, text_hash,
+    fp0), fp0 a digest of the set, and links (a, b) between digests that hold all groups
+    together. Every link is counted from the texts and none is missed (shingles are compared
+    as 64-bit hashes).
 
     Sets with the similarity share a shingle of their prefixes, which names their buckets. Each
     set is first compared with the nearest lead of its buckets, so that a dense group of n sets costs about n
@@ -493,16 +513,33 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             continue
         links = written(links.union(confirmed(new, classes, docs, id_col, text_col, width, least)), "links")
         tried = tried.union(new)
+    return sets.select("id", "text_hash", "fp0"), links
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, fp0, component_id) of each row, by ``similar_links``."""
+    sets, links = similar_links(docs, id_col, text_col, width, similarity)
     return classed(sets.select("id", "fp0"), links)
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id names their group of similar texts; one row of each id. Rows
-    without an id stay."""
-    first = similar_groups(docs, id_col, text_col).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-    kept = named.join(first, named[id_col] == first["_kept"], "left_semi")
-    return kept.unionByName(docs.filter(F.col(id_col).isNull()))
+    """The row of each group of similar texts that has the least id (of several texts with that id the one of
+    the least hash). Rows equal in id and text count as one; rows of one id with texts of two groups stay both.
+    Rows without an id stay. Texts of rows alone in their group are not shuffled."""
+    sets, links = similar_links(docs, id_col, text_col)
+    sets = sets.filter("id IS NOT NULL")
+    own = sets.groupBy("fp0").agg(F.min(F.struct("id", "text_hash")).alias("first"), F.count("*").alias("n"))
+    named = written(own.join(components(links).withColumnRenamed("node", "fp0"), "fp0", "left").withColumn("root", F.coalesce("root", "fp0")), "groups")
+    groups = named.groupBy("root").agg(F.min("first").alias("stays"), F.sum("n").alias("rows")).filter(F.col("rows") > 1).drop("rows")
+    several = sets.join(named.join(groups, "root").select("fp0", "stays"), "fp0")
+    stays = (F.col("id") == F.col("stays.id")) & (F.col("text_hash") == F.col("stays.text_hash"))
+    several = written(several.select("id", "text_hash", F.xxhash64("id", "text_hash").alias("both"), stays.alias("stays")).distinct(), "several")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"))
+    dealt = perhaps(rows.withColumn("both", F.xxhash64("id", "text_hash")), bitmap(several, "both"), "both")
+    alone = dealt.filter("id IS NULL OR NOT perhaps").select("row")
+    met = dealt.filter("id IS NOT NULL AND perhaps").drop("both", "perhaps").join(several.drop("both"), ["id", "text_hash"], "left")
+    kept = met.filter("stays IS NULL OR stays").dropDuplicates(["id", "text_hash"]).select("row")
+    return alone.union(kept).select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

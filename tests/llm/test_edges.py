@@ -178,3 +178,25 @@ def test_pii_copies_are_one_seed(spark):
         rows = [(i, f"please call me: +49 30 5550{i % seeds:03d} today") for i in range(12)] + [(50, "please call me: x7 today")]
         got = {r.id: r.spans for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
         assert len(got[50]) == found
+
+
+def test_one_of_each_group_with_repeated_ids(spark):
+    """Rows of one id with texts of two groups stay both; repeated rows, copies and near copies give one row;
+    rows without an id stay, and all columns do, whatever their names."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (1, b), (1, b), (2, a), (3, a + " more"), (4, c), (4, c), (None, c), (None, c), (5, None), (6, "")]
+    docs = spark.createDataFrame([(*r, 1, True) for r in rows], "doc_id long, text string, bucket int, perhaps boolean")
+    got = simhash.one_of_each_group(docs)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text) for r in got.collect() if r.text) == sorted([(1, a), (1, b), (4, c), (0, c), (0, c)])
+    assert [r.doc_id for r in got.collect() if not r.text] == [5]
+
+
+def test_bitmap_misses_no_key(spark):
+    """A place that is not set belongs to no marked key; an empty bitmap lets nothing through."""
+    keys = spark.range(0, 3000, 3).select(F.xxhash64("id").alias("k"))
+    rows = spark.range(3000).select("id", F.xxhash64("id").alias("k"))
+    for bits in (6, 12, 26):
+        found = {r.id for r in simhash.perhaps(rows, simhash.bitmap(keys, "k", bits), "k", bits).filter("perhaps").collect()}
+        assert set(range(0, 3000, 3)) <= found and (bits < 26 or len(found) < 1100)
+    assert simhash.perhaps(rows, simhash.bitmap(keys.limit(0), "k"), "k").filter("perhaps").count() == 0
