@@ -217,6 +217,52 @@ def test_compression_bands():
     assert quality_rules.band_verdict(b"", compress)[2]
 
 
+def plain_verdict(raw):
+    import math
+
+    import zstandard
+
+    def ratio(x):
+        return len(x) / len(zstandard.ZstdCompressor(level=3).compress(x))
+
+    knots = quality_rules.CORPUS_BANDS
+    below, above = [b for b in knots if b[0] <= len(raw)], [b for b in knots if b[0] > len(raw)]
+    if below and above:
+        (x, *p), (y, *q) = below[-1], above[0]
+        t = (math.log(len(raw)) - math.log(x)) / (math.log(y) - math.log(x))
+        low, high = (u + (v - u) * t for u, v in zip(p, q, strict=True))
+    else:
+        low, high = (below[-1:] or above[:1])[0][1:]
+    if not low <= ratio(raw) <= high:
+        return False
+    for size, low, high in quality_rules.CHUNKS:
+        starts = list(range(0, len(raw) - size + 1, size))
+        if len(raw) > size and starts[-1] + size < len(raw):
+            starts.append(len(raw) - size)
+        if sum(not low <= ratio(raw[i : i + size]) <= high for i in starts) > 0.05 * len(starts):
+            return False
+    return True
+
+
+def test_bands_against_a_plain_version_and_labels(spark):
+    """Verdicts equal a plain version's; on held-out rows the bands reject some of label 0 and none of label 1."""
+    folder = "/root/testdata/sf0.01"
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    got = registry.QUERIES["op10_quality_rules"](spark, folder).collect()
+    assert all(r.kept == (not r.base_failed and plain_verdict(docs[r.doc_id].encode())) for r in got)
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    judged = [(labels[r.doc_id], r.kept) for r in got if r.doc_id in labels and not r.base_failed]
+    assert all(kept for label, kept in judged if label == 1) and sum(not kept for label, kept in judged if label == 0) > 5
+
+
+def test_fitted_bands(spark):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{x}.parquet") for x in ("documents", "labels"))
+    bands = quality_rules.fit_bands(docs, labels)
+    assert len(bands) > 2 and all(low < high for _, low, high in bands) and [b[0] for b in bands] == sorted(b[0] for b in bands)
+    assert quality_rules.fit_bands(docs, labels.limit(0)) == ()
+
+
 def test_loser_tree():
     draw = random.Random(5)
     for k in range(0, 9):
