@@ -57,6 +57,79 @@ def test_pii_contexts_find_more(spark):
     assert [s.kind for s in got[98]] == ["email"] and not got[98][0].base and not got[100]
 
 
+def plain_accepted(rows, rounds, min_seeds, accept):
+    """The same scores by loops over all rows (pattern, shape, value, kind or None)."""
+    rows = [r for r in rows if r[0]]
+    known = {}
+    for _, _, value, kind in rows:
+        if kind:
+            known[value] = min(kind, known.get(value, kind))
+    best = {}
+    for _ in range(rounds):
+        best = {}
+        for pattern in {r[0] for r in rows}:
+            own = [r for r in rows if r[0] == pattern]
+            for kind in pii.KINDS:
+                weight = 0.0
+                for _, form, value, _ in own:
+                    alike = [known.get(r[2]) == kind for r in rows if r[1] == form]
+                    weight += float(known[value] == kind) if value in known else sum(alike) / len(alike)
+                seeds = len({(r[1], r[2]) for r in own if known.get(r[2]) == kind})
+                score = weight / (len(own) + 1)
+                if seeds >= min_seeds and score >= accept:
+                    best[pattern] = max(best.get(pattern, (0.0, "")), (score, kind))
+        for pattern, (_, kind) in sorted(best.items(), key=lambda x: x[1][1]):
+            for r in rows:
+                if r[0] == pattern:
+                    known.setdefault(r[2], kind)
+    return {p: k for p, (_, k) in best.items()}
+
+
+def test_pattern_scores_equal_plain_ones(spark):
+    draw = random.Random(6)
+    kinds = [None, None, "email", "card", "secret", "phone"]
+    rows = []
+    for _ in range(400):
+        value = draw.randrange(90)
+        rows.append((draw.choice(["a b", "c =", "d:", "e f", "g h", ""]), f"s{value % 4}", value, kinds[value % 6] if value % 7 else None))
+    table = spark.createDataFrame(rows, "pattern string, shape string, value long, kind string")
+    sizes = set()
+    for least, accept in ((3, 0.2), (5, 0.25), (8, 0.3)):
+        got = {r.pattern: r.found for r in pii.accepted(table, 3, least, accept).collect()}
+        assert got == plain_accepted(rows, 3, least, accept)
+        sizes.add(len(got))
+    assert max(sizes) > 0
+
+
+def test_pii_rounds_reach_further(spark):
+    """Instances that an accepted pattern makes known score a pattern that has no seed of its own."""
+    rows = [(i, f"please call me: +49 30 5550{i:03d} today") for i in range(12)]
+    rows += [(20 + i, f"please call me: 017 55{i} 7713 today") for i in range(6)] + [(40 + i, f"our desk line: 017 55{i} 7713 today") for i in range(6)]
+    rows += [(60, "our desk line: x7 today"), (61, "his flat no: x7 today")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one, three = ({r.id: r.spans for r in pii.find(docs, rounds=n).collect()} for n in (1, 3))
+    assert not one[60] and [s.kind for s in three[60]] == ["phone"] and not three[61]
+
+
+def test_pii_finds_secrets(spark):
+    """Tokens in the slot of 'token =' are marked, and nothing else is added."""
+    folder = "/root/testdata/sf0.1"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    planted = {(i, m.start(1), m.end(1)) for i, t in texts.items() for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', t)}
+    found = set()
+    for r in registry.QUERIES["op1_pii"](spark, folder).filter("n_added > 0").collect():
+        for k, a, b in (x.split(":") for x in r.spans.split(",")):
+            if k == "secret":
+                found.add((r.doc_id, int(a), int(b)))
+    assert len(planted) > 100 and found == planted
+
+
+def test_pii_very_long_runs():
+    for text in ("0" * 5000 + ".1.1.1", "x" * 1_000_000 + " no 7", "a" * 200_000 + " me: 1 " + "b@" * 20_000, "1." * 100_000, "(1" * 50_000):
+        assert all(0 <= c["start"] < c["end"] <= len(text) for c in pii.candidates(text, pii.base_spans(text)))
+    assert pii.base_spans("0" * 5000 + ".1.1.1") == [("ip", 0, 5006)]
+
+
 def brute_components(prints, ids, budget=4):
     f = np.array(prints, np.uint64)
     forest = simhash.Forest(len(f))
