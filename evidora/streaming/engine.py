@@ -113,28 +113,13 @@ def agreed(hypotheses: DataFrame) -> DataFrame:
     return counted.withColumn("committed", total).withColumn("new", F.when(F.col("committed") > before, F.slice("words", before + 1, F.col("committed") - before)).otherwise(F.array().cast("array<string>")))
 
 
-class LocalAgreement:
-    """The same, one hypothesis at a time, with a flush at the end that appends a revised tail."""
-
-    def __init__(self) -> None:
-        self.committed: list[str] = []
-        self._last: list[str] = []
-
-    @staticmethod
-    def _shared(a: list[str], b: list[str]) -> int:
-        return next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
-
-    def update(self, words: list[str]) -> list[str]:
-        sure = self._shared(self._last, words)
-        self._last = words
-        new = words[len(self.committed) : sure]
-        self.committed += new
-        return new
-
-    def flush(self, words: list[str]) -> list[str]:
-        new = words[self._shared(self.committed, words) :]
-        self.committed += new
-        return new
+def flushed(hypotheses: DataFrame) -> DataFrame:
+    """(session_id, committed, tail): the words committed by agreement, and those that the last hypothesis adds at the
+    end, from where it departs from the committed ones; a revised tail is appended, never put in place."""
+    steps = agreed(hypotheses).groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("seq", "new"))).alias("steps"), F.max_by("words", "seq").alias("last"))
+    known = steps.withColumn("committed", F.flatten(F.transform("steps", lambda x: x.new)))
+    shared = T.common_prefix(F.col("committed"), F.col("last"))
+    return known.select("session_id", "committed", F.slice("last", shared + 1, F.size("last")).alias("tail"))
 
 
 def decode_clock(arrived: Column, durations: Column) -> Column:

@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from evidora.config import Config, Controller
 from evidora.functions.numbers import spoken_numbers, word_errors
@@ -119,10 +120,17 @@ def test_word_errors():
     assert word_errors("a b".split(), ["b"]) == (1, {0})
 
 
-def test_agreement():
-    a = engine.LocalAgreement()
-    assert a.update("the cat".split()) == [] and a.update("the cat sat".split()) == ["the", "cat"]
-    assert a.update("the dog sat down".split()) == [] and a.flush("the cow sat".split()) == ["cow", "sat"]
+def test_agreement(spark):
+    said = ["the cat", "the cat sat", "the dog sat down", "the cow sat"]
+    rows = [("s", k, x.split()) for k, x in enumerate(said)] + [("t", 0, ["one", "word"]), ("u", 0, [])]
+    heard = spark.createDataFrame(rows, "session_id string, seq long, words array<string>")
+    assert [r.new for r in engine.agreed(heard).filter("session_id = 's'").orderBy("seq").collect()] == [[], ["the", "cat"], [], []]
+    assert {r.session_id: (r.committed, r.tail) for r in engine.flushed(heard).collect()} == {"s": (["the", "cat"], ["cow", "sat"]), "t": ([], ["one", "word"]), "u": ([], [])}
+
+
+def test_decode_clock(spark):
+    rows = spark.createDataFrame([([0.0, 5.0, 6.0], [2.0, 4.0, 1.0]), ([], [])], "a array<double>, d array<double>")
+    assert [r[0] for r in rows.select(engine.decode_clock(F.col("a"), F.col("d"))).collect()] == [[2.0, 9.0, 10.0], []]
 
 
 def test_settings():
