@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidora.llm.shared import giving_back, written
+from evidora.llm.shared import bitmap, giving_back, perhaps, written
 from evidora.session import table
 
 LEAF = 512  # pairs of leaves that are compared outright
@@ -434,24 +434,6 @@ def open_pairs(found: DataFrame, classes: DataFrame, member: DataFrame, similari
     return full.select("key", "fp0", "size", "root", *MARKS).repartition("key").sortWithinPartitions("key", "size").mapInArrow(giving_back(run), "a long, b long").distinct()
 
 
-def bitmap(keys: DataFrame, key: str, bits: int = 26) -> DataFrame:
-    """(bucket, marks): a bit array of 2**bits places at most, 8 MB, in which the place of each key is set;
-    its size does not depend on the number of keys."""
-    place = F.pmod(F.col(key), F.lit(1 << bits)) + 1
-    return keys.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("marks"))
-
-
-def perhaps(rows: DataFrame, marks: DataFrame, key: str, bits: int = 26) -> DataFrame:
-    """rows with a column ``perhaps``: false if the key is surely none of those marked. Rows are not shuffled;
-    it only saves work, so that what it lets through must be joined exactly."""
-    place = F.pmod(F.col(key), F.lit(1 << bits)) + 1
-    bit = F.bitmap_bit_position(place)
-    byte = F.conv(F.hex(F.substring("marks", (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
-    found = rows.withColumn("bucket", F.bitmap_bucket_number(place)).join(F.broadcast(marks), "bucket", "left")
-    one = F.expr("1L").bitwiseAND(F.call_function("shiftright", byte, bit.bitwiseAND(F.lit(7)).cast("int")))
-    return found.withColumn("perhaps", F.coalesce(one == 1, F.lit(False))).drop("bucket", "marks")
-
-
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, similarity: Fraction) -> DataFrame:
     """The pairs (a, b) whose sets have the similarity, counted from their texts."""
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from evidora.llm import chat, classifier, decontaminate, line_dedup, packing, pii, quality_rules, simhash, token_counts, warc
+from evidora.llm import chat, classifier, decontaminate, line_dedup, packing, pii, quality_rules, shared, simhash, token_counts, warc
 from evidora.llm.shared import scratch_path
 
 LONG = ("word " * 9 + "end.\n") * 4000
@@ -192,11 +192,46 @@ def test_one_of_each_group_with_repeated_ids(spark):
     assert [r.doc_id for r in got.collect() if not r.text] == [5]
 
 
+def test_line_store(spark):
+    """Runs are joined and merged without a shuffle, a later session's batch builds on them, and counts add up over batches."""
+    import random
+    from collections import Counter
+
+    draw = random.Random(8)
+    folder = scratch_path(spark, "t-lines")
+    store = line_dedup.LineStore(spark, folder, min_docs=6, buckets=3)
+    total, settled = Counter(), set()
+    for turn in range(7):
+        counts = Counter(draw.randrange(60) for _ in range(40))
+        batch = spark.createDataFrame([(k, -k, n) for k, n in counts.items()], "h1 long, h2 long, n long")
+        table = line_dedup.bucketed(batch.repartition(3, "h1", "h2"), scratch_path(spark, "t-batch"), 3, ["h1", "h2"])
+        if store.runs:
+            plan = store.joined(table)._jdf.queryExecution().executedPlan().toString()
+            assert "Join" in plan and "Exchange hashpartitioning" not in plan
+        store.add(table)
+        if turn == 3:
+            store = line_dedup.LineStore.open(spark, folder)
+        total += counts
+        settled = {k for k, n in total.items() if n >= 6}
+        found = [r.h1 for r in store.settled().collect()]
+        assert len(found) == len(set(found)) and set(found) == settled
+        assert Counter({level for level, _, _ in store.runs}) == Counter(level for level, _, _ in store.runs)  # one run a level
+    assert {level for level, _, _ in store.runs} == {0, 1, 2}
+
+
+def test_lines_in_batches(spark, docs):
+    """The number of batches does not change the result."""
+    rows = [(i, "\n".join([f"own {i}", "shared line", f"third {i % 3}", " SHARED line"])) for i in range(24)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    one, many = ({r.doc_id: r.text for r in line_dedup.drop_common_lines(table, min_docs=9, batch_rows=n).collect()} for n in (1000, 3))
+    assert one == many == {i: f"own {i}\nthird {i % 3}" for i in range(24)}
+
+
 def test_bitmap_misses_no_key(spark):
     """A place that is not set belongs to no marked key; an empty bitmap lets nothing through."""
     keys = spark.range(0, 3000, 3).select(F.xxhash64("id").alias("k"))
     rows = spark.range(3000).select("id", F.xxhash64("id").alias("k"))
     for bits in (6, 12, 26):
-        found = {r.id for r in simhash.perhaps(rows, simhash.bitmap(keys, "k", bits), "k", bits).filter("perhaps").collect()}
+        found = {r.id for r in shared.perhaps(rows, shared.bitmap(keys, "k", bits), "k", bits).filter("perhaps").collect()}
         assert set(range(0, 3000, 3)) <= found and (bits < 26 or len(found) < 1100)
-    assert simhash.perhaps(rows, simhash.bitmap(keys.limit(0), "k"), "k").filter("perhaps").count() == 0
+    assert shared.perhaps(rows, shared.bitmap(keys.limit(0), "k"), "k").filter("perhaps").count() == 0
