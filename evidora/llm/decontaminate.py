@@ -5,9 +5,10 @@ Words are runs of digits, letters a-z (A-Z lower-cased) and characters beyond AS
 automaton holds all distinct windows as ' w1 w2 ... ' and reads each normalised text once; a
 hit's place is mapped to words, and words to offsets in the original text.
 
-The automaton is built from the benchmark's windows, which go to every worker; they are sent in blocks of
-items of at most ``block_chars`` characters each, so what is broadcast is bounded however large the
-benchmark is: a larger benchmark means more passes over the texts, not fewer windows.
+The automaton is built in each worker from the windows, which are sent to it: ``block_windows`` distinct ones at most
+(50,000 windows of ten words take about 160 MB there). A benchmark with more takes a pass over the texts for each
+block of windows, one after another: a pass writes its hits to the shared folder before the next one
+starts, so that a worker never holds more than one block and the driver two, however large the benchmark is.
 
 Null and empty texts have no words, no hits and are clean; an empty benchmark leaves all clean. Items
 with a null id are searched for, but cannot be named. Repeated rows and ids stay; other columns
@@ -19,16 +20,19 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidora.llm.shared import bitmap, giving_back, perhaps, written
 from evidora.session import table
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+BLOCK = 50_000
+HITS = "array<struct<item:long,a:int,b:int>>"
 SPANS = "array<struct<item_id:long,start:int,end:int>>"
 SCHEMA = f"id long, n_words long, n_hit long, items array<long>, spans {SPANS}"
 
@@ -37,14 +41,21 @@ def normalise(text: str | None) -> list[str]:
     return WORD.findall((text or "").translate(UPPER) if not (text or "").isascii() else (text or "").lower())
 
 
-def windows(items: list[tuple[int | None, str | None]], width: int) -> dict[str, set[int]]:
-    """Each distinct window, with a space before and after each word, and the items that have it."""
-    found: dict[str, set[int]] = {}
+Windows = dict[str, set[int]]
+
+
+def windows(items: Iterable[tuple[int | None, str | None]], width: int, most: int | None = None) -> Iterator[Windows]:
+    """The distinct windows, with a space before and after each word, and the items that have them, ``most`` at a time; at
+    least one block, which may be empty. A window met again in a later block is found by both."""
+    found: Windows = {}
     for item, text in items:
         words = normalise(text)
         for at in range(max(1, len(words) - width + 1) if words else 0):
+            if most is not None and len(found) == most:
+                yield found
+                found = {}
             found.setdefault(f" {' '.join(words[at : at + width])} ", set()).update([] if item is None else [item])
-    return found
+    yield found
 
 
 class Scanner:
@@ -94,42 +105,63 @@ def covered(spans: list[tuple[int, int]]) -> int:
     return n
 
 
-def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_chars: int) -> Iterator[list[tuple[int | None, str | None]]]:
-    """The items, in blocks of at most ``block_chars`` characters (or one item)."""
-    items = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
-    block: list[tuple[int | None, str | None]] = []
-    size = 0
-    for row in items.toLocalIterator():
-        length = len(row.t or "")
-        if block and size + length > block_chars:
-            yield block
-            block, size = [], 0
-        block.append((row.i, row.t))
-        size += length
-    yield block
+def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, width: int, most: int) -> Iterator[Windows]:
+    """The windows of all items, ``most`` at a time; the driver reads one partition of items at a time."""
+    rows = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
+    return windows(((r.i, r.t) for r in rows.toLocalIterator()), width, most)
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = 10, block_chars: int = 4_000_000) -> DataFrame:
+def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = 10, block_windows: int = BLOCK) -> DataFrame:
     """One row per row of docs: (id, n_words, n_hit, items, spans), spans in code points of the
     original text, end exclusive, adjoining windows of an item merged."""
-    found = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.lit(None).cast("array<struct<item:long,a:int,b:int>>").alias("hits"))
-    blocks = benchmark_blocks(benchmark, item_col, item_text, block_chars)
-    block = next(blocks)
+    text = F.col(text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(id_col, text).alias("r1"), F.xxhash64(F.lit(1), id_col, text).alias("r2"), text.alias("text"))
+    blocks = benchmark_blocks(benchmark, item_col, item_text, width, block_windows)
+    block, after = next(blocks), next(blocks, None)
+    if after is None:  # one pass gives the result
+        return rows.select("id", "text", F.lit(None).cast(HITS).alias("hits")).mapInArrow(_result(block), SCHEMA)
+    found = None
     while block is not None:
-        after = next(blocks, None)
-        found = found.mapInArrow(_scan(windows(block, width), after is None), SCHEMA if after is None else found.schema)
-        block = after
-    return found
+        own = written(rows.select("r1", "r2", "text").mapInArrow(_hits(block), f"r1 long, r2 long, hits {HITS}"), "hits")
+        found = own if found is None else found.union(own)
+        block, after = after, next(blocks, None)
+    hits = written(found.groupBy("r1", "r2").agg(F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits")), "hits")
+    dealt = perhaps(rows, bitmap(hits, "r1"), "r1")
+    rest = dealt.filter("NOT perhaps").select("id", "text", F.lit(None).cast(HITS).alias("hits"))
+    every = rest.union(dealt.filter("perhaps").join(hits, ["r1", "r2"], "left").select("id", "text", "hits"))
+    return every.mapInArrow(_result({}), SCHEMA)
 
 
 _HITS = pa.list_(pa.struct([("item", pa.int64()), ("a", pa.int32()), ("b", pa.int32())]))
 _SPANS = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
-def _scan(patterns: dict[str, set[int]], last: bool):
-    """Adds a block's hits to those of earlier blocks; the last block's scan gives the result, so that with one
-    block each text is read and normalised once."""
-    key = hashlib.sha256(repr(sorted((k, sorted(v)) for k, v in patterns.items())).encode()).hexdigest()
+def _key(patterns: Windows) -> str:
+    return hashlib.sha256(repr(sorted((k, sorted(v)) for k, v in patterns.items())).encode()).hexdigest()
+
+
+def _found(scanner: Scanner, words: list[str]) -> list[dict]:
+    return [{"item": i, "a": a, "b": b} for a, b, items in scanner.scan(words) for i in sorted(items) or [None]]
+
+
+def _hits(patterns: Windows):
+    """(r1, r2, hits) of the rows in which a window occurs."""
+    key = _key(patterns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = Scanner.of(patterns, key)
+        for batch in batches:
+            out = [_found(scanner, normalise(x.as_py())) for x in batch.column(2)]
+            some = pa.array([bool(x) for x in out], pa.bool_())
+            columns = [*batch.columns[:2], pa.array(out, _HITS)]
+            yield pa.RecordBatch.from_arrays([c.filter(some) for c in columns], names=["r1", "r2", "hits"])
+
+    return giving_back(run)
+
+
+def _result(patterns: Windows):
+    """The columns of SCHEMA, from the hits of ``patterns`` and those of earlier passes."""
+    key = _key(patterns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner.of(patterns, key)
@@ -138,17 +170,12 @@ def _scan(patterns: dict[str, set[int]], last: bool):
             for value, before in zip(batch.column(1), batch.column(2), strict=True):
                 text = value.as_py() or ""
                 words = normalise(text)
-                here = [{"item": i, "a": a, "b": b} for a, b, items in scanner.scan(words) for i in sorted(items) or [None]]
-                hits = (before.as_py() or []) + here
-                out.append(_summary(text, len(words), hits) if last else hits)
-            if last:
-                columns = zip(*out, strict=True) if out else [[]] * 4
-                types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), _SPANS]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["id", "n_words", "n_hit", "items", "spans"])
-            else:
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, _HITS)], names=["id", "text", "hits"])
+                out.append(_summary(text, len(words), (before.as_py() or []) + _found(scanner, words)))
+            columns = zip(*out, strict=True) if out else [[]] * 4
+            types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), _SPANS]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["id", "n_words", "n_hit", "items", "spans"])
 
-    return run
+    return giving_back(run)
 
 
 def _summary(text: str, n_words: int, hits: list[dict]) -> tuple[int, int, list[int], list[dict]]:
@@ -167,25 +194,30 @@ def _summary(text: str, n_words: int, hits: list[dict]) -> tuple[int, int, list[
     return n_words, covered([(h["a"], h["b"]) for h in hits]), sorted(i for i in merged if i is not None), spans
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", width: int = 10, block_chars: int = 4_000_000) -> DataFrame:
-    """The rows of docs in whose text no window occurs, with all their columns, without a shuffle."""
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", width: int = 10, block_windows: int = BLOCK) -> DataFrame:
+    """The rows of docs in whose text no window occurs, with all their columns, without a shuffle. What a block of windows
+    leaves is written before the next block."""
     from pyspark.sql import types as T
 
     kept = docs.select([F.col(f"`{f.name}`") for f in docs.schema])
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema])
     at = docs.columns.index(text_col)
-    for block in benchmark_blocks(benchmark, "item_id", "text", block_chars):
-        patterns = windows(block, width)
-        key = hashlib.sha256(repr(sorted(patterns)).encode()).hexdigest()
 
-        def run(batches: Iterator[pa.RecordBatch], patterns=patterns, key=f"keep {key}") -> Iterator[pa.RecordBatch]:
+    def clean(patterns: Windows):
+        key = f"keep {_key(patterns)}"
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             scanner = Scanner.of(patterns, key)
             for batch in batches:
-                clean = [not scanner.scan(normalise(x.as_py())) for x in batch.column(at)]
-                yield batch.filter(pa.array(clean, pa.bool_()))
+                yield batch.filter(pa.array([not scanner.scan(normalise(x.as_py())) for x in batch.column(at)], pa.bool_()))
 
-        kept = kept.mapInArrow(run, schema)
-    return kept
+        return giving_back(run)
+
+    blocks = benchmark_blocks(benchmark, "item_id", "text", width, block_windows)
+    block = next(blocks)
+    while (after := next(blocks, None)) is not None:
+        kept, block = written(kept.mapInArrow(clean(block), schema), "clean"), after
+    return kept.mapInArrow(clean(block), schema)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -235,3 +235,28 @@ def test_bitmap_misses_no_key(spark):
         found = {r.id for r in shared.perhaps(rows, shared.bitmap(keys, "k", bits), "k", bits).filter("perhaps").collect()}
         assert set(range(0, 3000, 3)) <= found and (bits < 26 or len(found) < 1100)
     assert shared.perhaps(rows, shared.bitmap(keys.limit(0), "k"), "k").filter("perhaps").count() == 0
+
+
+def test_spans_and_blocks_of_windows(spark, docs):
+    """Spans lie on the words of their item in the original text; blocks of windows change nothing."""
+    small = "/root/testdata/sf0.001"
+    texts, items = (spark.read.parquet(f"{small}/{x}.parquet") for x in ("documents", "benchmark"))
+    texts = texts.select("doc_id", "text").union(spark.createDataFrame([(-1, "Ünï--W1X, w2x\nW3X."), (-1, "Ünï--W1X, w2x\nW3X."), (None, "w1x w2x w3x w2x w3x w4x")], "doc_id long, text string"))
+    items = items.union(spark.createDataFrame([(-5, "w1x w2x w3x"), (None, "w2x w3x"), (-6, None), (-7, " ?! ")], items.schema))
+    one = decontaminate.find_hits(texts, items).collect()
+    many = decontaminate.find_hits(texts, items, block_windows=300).collect()
+    plain = sorted(((r.id, r.n_words, r.n_hit, r.items, sorted(map(tuple, r.spans), key=repr)) for r in one), key=repr)
+    assert plain == sorted(((r.id, r.n_words, r.n_hit, r.items, sorted(map(tuple, r.spans), key=repr)) for r in many), key=repr)
+    words = {r.item_id: decontaminate.normalise(r.text) for r in items.collect()}
+    whole = {r.doc_id: r.text for r in texts.collect()}
+    assert sum(bool(r.spans) for r in one) > 4
+    for r in one:
+        for s in r.spans:
+            own, said = words[s.item_id], decontaminate.normalise(whole[r.id][s.start : s.end])
+            assert any(said[:k] == own[i : i + k] for k in [min(10, len(own))] for i in range(len(own) - k + 1))
+    found = {r.id: r for r in one}
+    assert [tuple(s) for s in found[-1].spans if s.item_id == -5] == [(-5, 5, 17)] and found[-1].n_hit == 3 and found[-1].n_words == 4
+    assert found[None].n_hit == 5 and found[None].items == [-5]
+    kept = decontaminate.remove_contaminated(texts, items).collect()
+    assert sorted(map(repr, kept)) == sorted(map(repr, decontaminate.remove_contaminated(texts, items, block_windows=300).collect()))
+    assert len(kept) == sum(not r.n_hit for r in one)
