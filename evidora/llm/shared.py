@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -37,6 +38,12 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
+def long_rows(spark: SparkSession, rows: int = 2000) -> None:
+    """Send ``rows`` rows at a time to Python workers, for tables of whole texts: Spark's 10,000 take five times the
+    memory in the executor and in the worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def bucketed(df: DataFrame, path: str, buckets: int, keys: list[str], partition_by: str | None = None) -> DataFrame:
     """Write ``df`` at ``path``, dealt by hash of ``keys`` to ``buckets`` and sorted in each, and read it back; joins of such
     tables on the keys need no shuffle. df must be dealt that way itself, or each task writes every bucket."""
@@ -89,6 +96,8 @@ def giving_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
             yield from run(batches)
         finally:
             pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc alone has it
+                trim(0)
 
     return once
 
