@@ -1,7 +1,10 @@
 """Every operator and pipeline stage with nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
+import gzip
 import hashlib
+import itertools
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -77,6 +80,34 @@ def test_pages(spark):
             assert by[1, "response"].payload_digest == hashlib.sha1(b"").hexdigest() and by[5, "response"].payload_bytes == 1998
             keys = [warc.order((None, r.urlkey, r.captured, None)) for r in got]
             assert keys == sorted(keys)
+            small = warc.read_index(spark, path, run_rows=2, range_rows=1, block=1).collect()  # many runs, ranges and blocks
+            assert [warc.order((None, r.urlkey, r.captured, None)) for r in small] == keys and sorted(map(str, small)) == sorted(map(str, got))
+            unpacked = {f.path.rpartition("/")[2]: gzip.decompress(f.content) for f in spark.read.format("binaryFile").load(path).collect()}
+            for r in got:
+                ((headers, *_),) = warc.parse(unpacked[r.run][r.record_offset : r.record_offset + r.record_length])
+                assert warc.page_of(headers["WARC-Record-ID"]) == r.page_id and headers["WARC-Payload-Digest"] == f"sha1:{r.payload_digest}"
+
+
+def test_merge_holds_one_block_a_run():
+    """Blocks in the order of their first keys, ties included, give all rows in order; a run has one open block at most."""
+    draw = random.Random(7)
+    for runs in (1, 3, 8):
+        made = [sorted(((draw.randrange(40),) for _ in range(200))) for _ in range(runs)]
+        opened, most = set(), 0
+
+        def rows(name, block, opened=opened):
+            opened.add(name)
+            yield from block
+            opened.discard(name)
+
+        blocks = sorted(((run[lo], k, run[lo : lo + 7]) for k, run in enumerate(made) for lo in range(0, 200, 7)), key=lambda b: b[0])
+        tree, got = warc.LoserTree([], key=lambda r: r), []
+        for n, (first, k, block) in enumerate(blocks):
+            got += tree.upto(first)
+            tree.add(rows((k, n), block))
+            most = max(most, len(opened))
+        got += tree
+        assert got == sorted(itertools.chain(*made)) and most <= runs
 
 
 def test_conversations(spark):
