@@ -47,6 +47,7 @@ class Controller:
     strip_markers: bool = False
     spoken_numbers: bool = False
     split_unpunctuated: bool = False
+    speculate: bool = False  # search ahead during speech what the end would ask
 
 
 @dataclass(frozen=True)
@@ -167,4 +168,17 @@ ERROR_CLASSES = {
     "sentence_selection": "C", "answer_not_in_text": "D", "merge_lost": "D", "decomposition": "E", "cross_intent_contamination": "F",
     "refusal_gate": "H1", "refusal": "H2", "relevance_gate": "H3",
 }
+TURN_MARKS = "utterance_end final_decision retrieval_wait synthesis answer_telemetry output".split()
+FEATURES = "top sentence reader_margin overlap_ce overlap_section margin nli_contra_rd nli_entail_rd agree".split()
+FEATURE_DEFAULTS = {"sentence": -10.0, "reader_margin": -10.0, "nli_contra_rd": 0.5, "nli_entail_rd": 0.5}
+RECORD_FIELDS = "retrieval_events sub_queries answer citations uncertainty".split()
+CLAIM_STOPWORDS = """
+a an and are as at be been but by can could does do for from had has have how i
+if in into is it its may might must no not of on or our over per shall should
+so such than that the their then there these they this those to under up was
+were what when where which while who will with would you your
+""".split()
+CLAIM_WORD = r"[a-z0-9][a-z0-9'-]*"
+DEGRADED_ANSWER = "I'm not able to complete this right now."
+DEGRADED_DOUBT = "internal error or timeout prevented a grounded answer"
 # End of fixed values.

@@ -141,6 +141,20 @@ def numbers_in(text: Column) -> Column:
     return F.array_distinct(F.transform(found, lambda x: F.when(F.contains(x, F.lit(".")), F.regexp_replace(x, r"\.?0+$", "")).otherwise(x)))
 
 
+def claim_words(text: Column) -> Column:
+    """Distinct words of three characters or more, hyphens and apostrophes kept, that carry weight in a model's claim."""
+    return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(text), F.lit(C.CLAIM_WORD), F.lit(0)), lambda w: (F.length(w) > 2) & ~w.isin(C.CLAIM_STOPWORDS)))
+
+
+PIECE = r"(?s)\s*\S\s*(?:[.!?]|[^\s.!?][^.!?\n]*[.!?\n])|.+"
+
+
+def pieces(text: Column) -> Column:
+    """A text in parts for sending one by one: each ends with . ! ? or a line feed once it has two characters that aren't blank
+    around it, the last one anywhere. Joined they are the text."""
+    return F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))
+
+
 def number_conflict(claim: Column, cited: Column) -> Column:
     """The claim has numbers and shares none with the text."""
     return (F.size(numbers_in(claim)) > 0) & ~F.arrays_overlap(numbers_in(claim), numbers_in(cited))

@@ -243,15 +243,20 @@ class Utterance:
     cancelled: list[str] = field(default_factory=list)
     kind: str = ""
     reason: str = ""
+    heard: str = ""
+    asked: list[str] = field(default_factory=list)
+    ahead: list[str] = field(default_factory=list)
 
 
 @dataclass
 class Session:
-    """answered: queries of earlier turns that ended with a search, the latest turn's last."""
+    """answered: queries of earlier turns that ended with a search, the latest turn's last; requests: how many searches were
+    started. An utterance's heard is its latest hypothesis, asked the texts searched, ahead those searched in advance."""
 
     open: dict[str, Utterance] = field(default_factory=dict)
     answered: list[Query] = field(default_factory=list)
     topic: str = ""
+    requests: int = 0
 
     def to_json(self) -> dict[str, Any]:
         from dataclasses import asdict
@@ -261,7 +266,7 @@ class Session:
     @classmethod
     def of_json(cls, data: dict[str, Any]) -> Session:
         opened = {k: Utterance(**{**u, "live": [Query(**q) for q in u["live"]]}) for k, u in data["open"].items()}
-        return cls(opened, [Query(**q) for q in data["answered"]], data["topic"])
+        return cls(opened, [Query(**q) for q in data["answered"]], data["topic"], data["requests"])
 
 
 @dataclass
@@ -361,6 +366,26 @@ def hypothesis_rest(committed: str, hypothesis: str) -> str | None:
     return " ".join(words[len(done) :]) if words[: len(done)] == done else None
 
 
+def look_ahead(session: Session, utterance_id: str, known: Vocabulary, own: C.Controller) -> tuple[list[str], list[str]]:
+    """(new, stale) texts to search in advance: what the end would ask now, and after the words that the hypothesis adds. Decisions
+    and answers don't depend on them; a later query of the same text takes its result."""
+    u = session.open.setdefault(utterance_id, Utterance())
+    rest = hypothesis_rest(u.text, u.heard) if u.heard else None
+    pending = [""] + ([" " * bool(u.text.strip()) + rest] if rest else [])
+    wanted = dict.fromkeys(q.text for p in pending for q in preview(session, utterance_id, p, known, own) if q.text not in u.asked)
+    new, stale = [t for t in wanted if t not in u.ahead], [t for t in u.ahead if t not in wanted]
+    u.ahead = list(wanted)
+    return new, stale
+
+
+def degraded(session: Session) -> list[dict[str, Any]]:
+    """Turn rows of the utterances that are given up before their end, whose searches are all cancelled."""
+    return [
+        {"row": "turn", "utterance_id": uid, "turn_kind": u.kind or "new_request", "reason": "degraded", "live": [], "cancelled": u.cancelled + [q.query_id for q in u.live], "retrieval_required": u.issued > 0}
+        for uid, u in session.open.items()
+    ]
+
+
 def step(session: Session, event: dict[str, Any], mode: str = "streaming", known: Vocabulary = Vocabulary(), own: C.Controller = C.Controller()) -> list[dict[str, Any]]:
     """One envelope event; rows (kind: decision, query or turn) for the log. A bad event gives an error row. Modes: 'streaming'
     decides at each fragment, 'deferred' at the end only, 'baseline' asks one query of the whole utterance."""
@@ -374,8 +399,17 @@ def step(session: Session, event: dict[str, Any], mode: str = "streaming", known
         session.open.clear()
         session.answered, session.topic = [], ""
         return []
+    searching = mode == "streaming" and own.speculate
+
+    def ahead() -> list[dict[str, Any]]:
+        new, stale = look_ahead(session, uid, known, own)
+        return [base | {"row": "prefetch_cancelled", "text": t} for t in stale] + [base | {"row": "prefetch", "text": t} for t in new]
+
     if kind == "transcript_hypothesis":  # may only bring work forward, never change an answer
-        return []
+        if not searching:
+            return []
+        session.open.setdefault(uid, Utterance()).heard = event.get("text") or ""
+        return ahead()
     if kind not in ("transcript_chunk", "utterance_end"):
         return [base | {"row": "error", "reason": "unknown event type"}]
     final = kind == "utterance_end"
@@ -391,8 +425,12 @@ def step(session: Session, event: dict[str, Any], mode: str = "streaming", known
     else:
         made = decide(session, uid, fragment, final, known, own)
     rows = [base | {"row": "decision", "decision": made.decision, "turn_kind": made.kind, "reason": made.reason, "stability": made.stability, "superseded": made.superseded}]
-    rows += [base | {"row": "query", "query_id": q.query_id, "text": q.text, "label": q.label, "trigger": q.trigger, "parent": q.parent} for q in made.queries]
     u = session.open.setdefault(uid, Utterance())
+    for q in made.queries:
+        session.requests += 1
+        rows.append(base | {"row": "query", "query_id": q.query_id, "text": q.text, "label": q.label, "trigger": q.trigger, "parent": q.parent, "request_id": f"r{session.requests}", "adopted": q.text in u.ahead})
+        u.asked.append(q.text)
+        u.ahead = [t for t in u.ahead if t != q.text]
     if made.decision != "wait" or not u.kind:  # waiting after a search never takes its place
         u.kind, u.reason = made.kind, made.reason
     if final:
@@ -401,4 +439,6 @@ def step(session: Session, event: dict[str, Any], mode: str = "streaming", known
             session.answered = (session.answered if u.kind == "refinement" else []) + u.live
             session.topic = "; ".join(q.label for q in session.answered[:3])
         del session.open[uid]
+    elif searching:
+        rows += ahead()
     return rows

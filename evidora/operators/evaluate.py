@@ -145,15 +145,15 @@ def best_threshold(swept: DataFrame) -> DataFrame:
     return swept.agg(F.max_by("threshold", F.struct("balanced", -F.col("threshold"))).alias("threshold"), F.max("balanced").alias("balanced"))
 
 
-def percentiles_floor(rows: DataFrame, group: str, value: str, quantiles: list[float]) -> DataFrame:
-    """Value at place floor(q n) of each group, by running counts of distinct values."""
+def percentiles_floor(rows: DataFrame, group: str, value: str, quantiles: list[float], of_last: bool = False) -> DataFrame:
+    """Value at place floor(q n) of each group, or floor(q (n - 1)), by running counts of distinct values."""
     from pyspark.sql import Window
 
     counts = rows.groupBy(group, value).agg(F.count("*").alias("c"))
     by = Window.partitionBy(group)
     run = counts.withColumns({"upto": F.sum("c").over(by.orderBy(value)), "n": F.sum("c").over(by)})
     hit = run.select(group, value, "upto", "n", F.explode(F.array(*map(F.lit, quantiles))).alias("q"))
-    place = F.least(F.floor(F.col("q") * F.col("n")), F.col("n") - 1)
+    place = F.least(F.floor(F.col("q") * (F.col("n") - int(of_last))), F.col("n") - 1)
     return hit.filter(F.col("upto") > place).groupBy(group, "q").agg(F.min(value).alias("value"))
 
 

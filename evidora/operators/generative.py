@@ -106,3 +106,12 @@ def version_gaps(versions: DataFrame) -> DataFrame:
     """Versions that don't follow the one before them: the store is append-only and contiguous."""
     before = F.lag("version").over(Window.partitionBy("session_id").orderBy("version"))
     return versions.withColumn("before", before).filter(F.col("version") != F.coalesce("before", F.lit(0)) + 1)
+
+
+def claim_queries(claims: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(session_id, claim_id, query_id): the query that a claim answers, by its first citation among the session's evidence and the
+    query that found that first. claims (session_id, claim_id, citations); evidence (session_id, query_id, citation, at). Claims
+    without such a citation have no row."""
+    first = evidence.groupBy("session_id", "citation").agg(F.min_by("query_id", F.struct("at", "query_id")).alias("query_id"))
+    cited = claims.select("session_id", "claim_id", F.posexplode("citations").alias("place", "citation"))
+    return cited.join(first, ["session_id", "citation"]).groupBy("session_id", "claim_id").agg(F.min_by("query_id", "place").alias("query_id"))

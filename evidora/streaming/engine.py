@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 
 from evidora.config import Controller
 from evidora.functions import text as T
-from evidora.operators.controller import Session, Vocabulary, step
+from evidora.operators.controller import Session, Vocabulary, degraded, step
 
 ROWS = (
     "session_id string, seq long, row string, utterance_id string, ts_ms long, decision string, turn_kind string, reason string, stability double, superseded array<string>, "
-    "query_id string, text string, label string, trigger string, parent string, live array<string>, cancelled array<string>, retrieval_required boolean"
+    "query_id string, text string, label string, trigger string, parent string, live array<string>, cancelled array<string>, retrieval_required boolean, request_id string, adopted boolean"
 )
 _NAMES = [x.split()[0] for x in ROWS.split(", ")]
 _KINDS = {"string": pa.string(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
@@ -52,18 +52,18 @@ def replay(events: DataFrame, mode: str = "streaming", known: Vocabulary = Vocab
     return sorted_in.mapInArrow(run, ROWS)
 
 
-def stream(events: DataFrame, timeout_ms: int = 15 * 60 * 1000, mode: str = "streaming", known: Vocabulary = Vocabulary(), own: Controller = Controller()) -> DataFrame:
-    """The same over a streaming DataFrame. A session without events for ``timeout_ms`` loses its state."""
-
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        session, n = Session(), 0
-        if state.exists:
-            saved, n = state.get
-            session = Session.of_json(loads(saved))
-        rows: list[dict] = []
+def advance(key: tuple, parts: Iterator[pd.DataFrame], state, timeout_ms: int, mode: str, known: Vocabulary, own: Controller) -> pd.DataFrame:
+    """Rows of a session's next events, its state brought up to date. At a timeout the state goes, and each utterance that is
+    still open ends as a degraded turn."""
+    session, n = Session(), 0
+    if state.exists:
+        saved, n = state.get
+        session = Session.of_json(loads(saved))
+    rows: list[dict] = []
+    if state.hasTimedOut:
+        rows = [row | {"session_id": key[0], "seq": n + k} for k, row in enumerate(degraded(session))]
+        state.remove()
+    else:
         pdf = pd.concat(list(parts)).sort_values(["timestamp_ms", "seq"], kind="stable")
         for event in pdf.astype(object).where(pdf.notna(), None).to_dict("records"):
             for row in step(session, event, mode, known, own):
@@ -74,23 +74,41 @@ def stream(events: DataFrame, timeout_ms: int = 15 * 60 * 1000, mode: str = "str
         else:
             state.update((dumps(session.to_json()), n))
             state.setTimeoutDuration(timeout_ms)
-        made = pd.DataFrame([{c: r.get(c) for c in _NAMES} for r in rows], columns=_NAMES)
-        yield made.astype({"seq": "int64", "ts_ms": "Int64"})
+    made = pd.DataFrame([{c: r.get(c) for c in _NAMES} for r in rows], columns=_NAMES)
+    return made.astype({"seq": "int64", "ts_ms": "Int64"})
+
+
+def stream(events: DataFrame, timeout_ms: int = 15 * 60 * 1000, mode: str = "streaming", known: Vocabulary = Vocabulary(), own: Controller = Controller()) -> DataFrame:
+    """The same over a streaming DataFrame. A session without events for ``timeout_ms`` loses its state, and its open turns
+    are given out as degraded."""
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        yield advance(key, parts, state, timeout_ms, mode, known, own)
 
     return events.groupBy("session_id").applyInPandasWithState(run, ROWS, "state string, n long", "append", "ProcessingTimeTimeout")
 
 
+def withdrawn(rows: DataFrame) -> DataFrame:
+    """(session_id, query_id) of queries that a row takes back: superseded ones, parents that a clause has grown from, and those that an
+    ended turn lists as cancelled."""
+    none = F.array().cast("array<string>")
+    own_parent = (F.col("row") == "query") & (F.split_part("parent", F.lit(".q"), F.lit(1)) == F.col("utterance_id"))
+    ids = F.concat(F.coalesce("superseded", none), F.coalesce("cancelled", none), F.when(own_parent, F.array("parent")).otherwise(none))
+    return rows.select("session_id", F.explode(ids).alias("query_id")).distinct()
+
+
 def search_stream(queries: DataFrame, search, sink):
-    """Starts answering a stream of query rows: each micro-batch's distinct texts are searched once, by batch joins
-    against static index tables, and superseded queries are dropped. search: DataFrame (query_id, query) -> evidence;
-    sink: (evidence DataFrame, batch id) -> None."""
+    """Starts answering a stream of the engine's rows: each micro-batch's distinct texts, asked or to be searched in advance, are searched
+    once, by batch joins against static index tables; queries taken back in the same batch are left out. search: DataFrame
+    (query_id, query) -> evidence; sink: (evidence, withdrawn (session_id, query_id), batch id) -> None, which takes back evidence of
+    earlier batches. Evidence has row, session_id and asked_id, null for texts searched in advance."""
 
     def batch(rows: DataFrame, number: int) -> None:
-        gone = rows.select(F.explode("superseded").alias("query_id"))
-        asked = rows.filter("row = 'query'").join(gone, "query_id", "left_anti")
-        texts = asked.select(F.xxhash64("text").alias("query_id"), F.col("text").alias("query")).distinct()
-        found = search(texts)
-        sink(asked.select("session_id", F.col("query_id").alias("asked_id"), F.xxhash64("text").alias("query_id")).join(found, "query_id"), number)
+        gone = withdrawn(rows)
+        wanted = rows.filter("row IN ('query', 'prefetch')").join(gone, ["session_id", "query_id"], "left_anti")
+        asked = wanted.select("row", "session_id", F.col("query_id").alias("asked_id"), F.xxhash64("text").alias("query_id"), F.col("text").alias("query"))
+        found = search(asked.select("query_id", "query").distinct())
+        sink(asked.drop("query").join(found, "query_id"), gone, number)
 
     return queries.writeStream.foreachBatch(batch)
 

@@ -2,14 +2,15 @@
 
 import json
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from evidora.config import Config, Controller
+from evidora.config import DEGRADED_ANSWER, DEGRADED_DOUBT, RECORD_FIELDS, Config, Controller
 from evidora.functions.numbers import spoken_numbers, word_errors
 from evidora.operators.controller import Session, Vocabulary, decide, decompose, hypothesis_rest, preview, split_unpunctuated, step
 from evidora.plans import conversation_queries as Q
-from evidora.streaming import engine
+from evidora.streaming import engine, sinks
 from tests.conftest import SMALL
 
 
@@ -137,3 +138,101 @@ def test_settings():
     assert Config().override("retrieval.k", "3").retrieval.k == 3
     assert Config().override("controller.strip_markers", "true").controller.strip_markers
     assert decide(Session(), "u", "the new museum opens in 2026", False, Vocabulary(), Controller(mode="model")).stability < 1
+
+
+CUT = [("transcript_chunk", "What is the cancellation"), ("transcript_hypothesis", None), ("transcript_chunk", " policy for the city workshop?"), ("utterance_end", None)]
+
+
+def rows_with(heard, own):
+    s, rows = Session(), []
+    for k, (kind, text) in enumerate(CUT):
+        if kind == "transcript_hypothesis" and heard is None:
+            continue
+        rows += step(s, {"event_type": kind, "utterance_id": "u1", "timestamp_ms": k, "text": heard if kind == "transcript_hypothesis" else text}, own=own)
+        s = Session.of_json(json.loads(json.dumps(s.to_json())))
+    return rows
+
+
+def test_searching_ahead_changes_no_answer():
+    plain = [{k: v for k, v in r.items() if k != "adopted"} for r in rows_with(None, Controller())]
+    whole = "What is the cancellation policy for the city workshop?"
+    for heard, adopted in ((whole, True), ("What is the cancellation fee for catering?", None), ("What was the fee", None), (None, None)):
+        rows = rows_with(heard, Controller(speculate=True))
+        assert [{k: v for k, v in r.items() if k != "adopted"} for r in rows if not r["row"].startswith("prefetch")] == plain
+        ahead = [r["text"] for r in rows if r["row"] == "prefetch"]
+        assert len(ahead) == len(set(ahead))
+        if adopted:
+            asked = [r for r in rows if r["row"] == "query"]
+            assert any(r["adopted"] for r in asked) and all(r["text"] in ahead for r in asked if r["adopted"])
+    assert not [r for r in rows_with(whole, Controller()) if r["row"].startswith("prefetch")]
+    wrong = rows_with("What is the cancellation fee for catering?", Controller(speculate=True))
+    assert {r["text"] for r in wrong if r["row"] == "prefetch_cancelled"} <= {r["text"] for r in wrong if r["row"] == "prefetch"} != set()
+
+
+class Kept:
+    """A state as the streaming operator gives it."""
+
+    def __init__(self, timed_out=False, value=None):
+        self.hasTimedOut, self.value = timed_out, value
+        self.exists, self.get = value is not None, value
+
+    def remove(self):
+        self.value = None
+
+    def update(self, value):
+        self.value = value
+
+    def setTimeoutDuration(self, ms):
+        self.ms = ms
+
+
+def test_a_timeout_gives_degraded_turns():
+    events = pd.DataFrame([("u1", 1, 0, "transcript_chunk", "the 2024 refund policy and the parking fees"), ("u2", 2, 1, "transcript_chunk", "the")], columns="utterance_id timestamp_ms seq event_type text".split())
+    first = Kept()
+    rows = engine.advance(("s",), iter([events]), first, 9, "streaming", Vocabulary(), Controller())
+    assert first.ms == 9 and list(rows["seq"]) == list(range(len(rows)))
+    late = Kept(True, first.value)
+    ended = engine.advance(("s",), iter([]), late, 9, "streaming", Vocabulary(), Controller())
+    assert late.value is None and list(ended["reason"]) == ["degraded"] * 2 and ended["seq"].min() == len(rows)
+    asked = list(rows[rows["row"] == "query"]["query_id"])
+    assert asked and set(ended["cancelled"].iloc[0]) >= set(asked) and list(ended["live"]) == [[], []]
+    assert len(engine.advance(("s",), iter([]), Kept(True, ('{"open": {}, "answered": [], "topic": "", "requests": 0}', 3)), 9, "streaming", Vocabulary(), Controller())) == 0
+
+
+def test_search_takes_back_what_was_superseded(spark, tmp_path):
+    text = "string"
+    rows = [("s", "query", "u1", "u1.q1", "refund", None, None, None), ("s", "query", "u1", "u1.q2", "refund policy", "u1.q1", None, None), ("s", "prefetch", "u1", None, "parking", None, None, None), ("s", "query", "u2", "u2.q1", "parking", "u1.q2", None, None), ("s", "decision", "u2", None, None, None, ["u9.q9"], None)]
+    columns = f"session_id {text}, row {text}, utterance_id {text}, query_id {text}, text {text}, parent {text}, superseded array<string>, cancelled array<string>"
+    spark.createDataFrame(rows, columns).write.parquet(str(tmp_path / "in"))
+    seen, searched = [], []
+
+    def search(texts):
+        searched.extend(r.query for r in texts.collect())
+        return texts.withColumn("citation", F.concat(F.col("query"), F.lit(" §1")))
+
+    def sink(found, gone, number):
+        seen.append(({(r.row, r.asked_id, r.citation) for r in found.collect()}, {r.query_id for r in gone.collect()}))
+
+    live = spark.readStream.schema(columns).parquet(str(tmp_path / "in"))
+    q = engine.search_stream(live, search, sink).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    found, gone = seen[0]
+    assert gone == {"u1.q1", "u9.q9"} and sorted(searched) == ["parking", "refund policy"]
+    assert found == {("query", "u1.q2", "refund policy §1"), ("prefetch", None, "parking §1"), ("query", "u2.q1", "parking §1")}
+
+
+def test_logs_and_records(spark, tmp_path):
+    rows = spark.createDataFrame([(f"s{k}", k) for k in range(5)], "session_id string, n long")
+    rows.write.parquet(str(tmp_path / "in"))
+    live = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    for _ in range(2):  # a second run adds nothing
+        sinks.json_log(live, str(tmp_path / "out"), str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(120)
+    assert spark.read.json(str(tmp_path / "out")).count() == 5
+    sinks.memory_log(live, "log_rows").option("checkpointLocation", str(tmp_path / "m")).trigger(availableNow=True).start().awaitTermination(120)
+    assert spark.table("log_rows").count() == 5
+    turns = spark.createDataFrame([("s", "u", "degraded", "half"), ("s", "v", "final", "whole")], "session_id string, utterance_id string, reason string, answer string")
+    got = sinks.records(turns).collect()
+    assert got[0].__fields__ == RECORD_FIELDS and [r.answer for r in got] == [DEGRADED_ANSWER, "whole"] and [r.uncertainty for r in got] == [DEGRADED_DOUBT, None]
+    two = spark.createDataFrame([("s", 0, "query", "u", 1500, "u.q1", "a", "provisional", None, None, None), ("s", 1, "query", "u", 2500, "u.q2", "b", "final", None, None, None), ("s", 2, "turn", "u", 2500, None, None, None, ["u.q2"], "final", True), ("s", 3, "turn", "v", 1, None, None, None, [], "chit_chat", False)], "session_id string, seq long, row string, utterance_id string, ts_ms long, query_id string, text string, trigger string, live array<string>, reason string, retrieval_required boolean")
+    made = {r.utterance_id: r for r in sinks.turn_results(two).collect()}
+    assert [tuple(e) for e in made["u"].retrieval_events] == [(1.5, "a", "provisional"), (2.5, "b", "final")] and made["u"].sub_queries == ["b"] and made["v"].retrieval_events == []
