@@ -155,7 +155,9 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     whole = rows.filter("NOT perhaps").select("row", F.col("text").alias("kept"), n.cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
     found = rows.filter("perhaps").join(gone, ["r1", "r2"], "left")
     stay = F.array_except(F.sequence(F.lit(0), n - 1), "gone")  # by hashing, in order
-    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
+    # the outer lambda's variable holds the lines of a row, so that they are split once and not for each line that stays
+    picked = F.transform(F.array(lines), lambda own: F.array_join(F.transform(stay, lambda i: F.get(own, i)), "\n"))[0]
+    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(picked)
     return whole.union(found.select("row", kept.alias("kept"), n.cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped")))
 
 
