@@ -37,6 +37,8 @@ from evidora.session import table
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "page_id long, urlkey string, captured string, run string, payload_bytes long, payload_digest string, record_type string, refers_to long, record_offset long, record_length long"
+#: Ids give dates by what is left of division by this, so that any id gives a year of four digits.
+DATES = 1 << 32
 BLOCKS = "range int, page_id long, urlkey string, captured string, block binary"
 
 
@@ -74,7 +76,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     joined = rows.select("*", key).repartition(archives, "key").join(marks.repartition(archives, "key"), "key", "left").withColumn("revisit", F.col("response").isNotNull())
     eol = F.lit("\r\n")
     record = F.coalesce(F.col("id").cast("string"), F.lit("none"))
-    date = F.date_format(F.timestamp_seconds(F.lit(1_600_000_000) + F.coalesce(F.col("id"), F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    date = F.date_format(F.timestamp_seconds(F.lit(1_600_000_000) + F.pmod(F.coalesce(F.col("id"), F.lit(0)), F.lit(DATES))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size").cast("string"), F.lit("\r\n\r\n"))
     block = F.when(F.col("revisit"), http).otherwise(F.concat(http, F.col("html")))
     refers = F.when(F.col("revisit"), F.concat(F.lit("WARC-Profile: " + PROFILE), eol, F.lit("WARC-Refers-To: <urn:page:"), F.col("response").cast("string"), F.lit(">\r\n"))).otherwise(F.lit(""))
