@@ -291,3 +291,27 @@ def test_spans_and_blocks_of_windows(spark, docs):
     kept = decontaminate.remove_contaminated(texts, items).collect()
     assert sorted(map(repr, kept)) == sorted(map(repr, decontaminate.remove_contaminated(texts, items, block_windows=300).collect()))
     assert len(kept) == sum(not r.n_hit for r in one)
+
+
+def test_common_lines_of_long_texts_take_linear_time(spark):
+    """Texts of many lines that occur often: twice the lines take about twice the time, not four times."""
+    import time
+
+    took = {}
+    for n in (500, 8000, 16000):
+        text = "\n".join(f"shared line {i}" if i % 2 else f"own %d {i}" for i in range(n))
+        table = spark.createDataFrame([(k, text.replace("%d", str(k))) for k in range(12)], "doc_id long, text string")
+        began = time.perf_counter()
+        rows = line_dedup.deduplicated(table).collect()
+        took[n] = time.perf_counter() - began
+        assert all((r.n_lines, r.n_dropped) == (n, n // 2) and r.kept == "\n".join(f"own {r.row.doc_id} {i}" for i in range(0, n, 2)) for r in rows)
+    assert took[16000] < 3 * took[8000] + 5
+
+
+def test_archives_of_any_long_id(spark):
+    rows = [(i, "http://h/a", "x" * 1200) for i in (2**62, -(2**62), 2**63 - 1, -(2**63), 10**13 + 5)]
+    path = scratch_path(spark, "t-ids")
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
+    got = warc.read_index(spark, path).collect()
+    assert {r.page_id for r in got} == {r[0] for r in rows} and all(len(r.captured) == 20 for r in got)
+    assert [r.page_id for r in got if r.record_type == "response"] == [2**63 - 1] and [r.captured for r in got] == sorted(r.captured for r in got)

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import pathlib
 import random
 import re
 import zlib
@@ -9,7 +10,7 @@ import zlib
 import numpy as np
 import pytest
 
-from evidora.llm import chat, packing, pii, quality_rules, registry, simhash, token_counts, warc
+from evidora.llm import chat, classifier, packing, pii, quality_rules, registry, simhash, token_counts, warc
 from tests.conftest import SMALL, rows_of
 
 
@@ -202,6 +203,17 @@ def test_classifier_on_held_out_rows(spark):
     assert got.score.between(0, 1).all() and (held.predicted == held.quality).mean() > 0.95
 
 
+def test_margins_equal_the_sum_over_all_pairs():
+    """The linear-time form of the factorisation machine against its definition, repeated places included."""
+    draw = np.random.default_rng(9)
+    model = classifier.Machine(0.3, draw.normal(size=40), draw.normal(size=(40, 3)))
+    rows = [(draw.integers(0, 40, n), draw.normal(size=n)) for n in (1, 2, 7, 12)]
+    got = model.margins(np.concatenate([a for a, _ in rows]), np.concatenate([v for _, v in rows]), np.array([0, 1, 3, 10]))
+    for z, (at, value) in zip(got, rows, strict=True):
+        pairs = sum(model.factors[at[i]] @ model.factors[at[j]] * value[i] * value[j] for i, j in itertools.combinations(range(len(at)), 2))
+        assert z == pytest.approx(0.3 + model.linear[at] @ value + pairs)
+
+
 def test_token_counts(spark, texts):
     enc = token_counts.Encoder.of(token_counts.vocabulary_path())
     for r in registry.QUERIES["op8_token_counts"](spark, SMALL).collect()[:80]:
@@ -290,7 +302,7 @@ def test_compression_bands():
     assert quality_rules.band_verdict(b"", compress)[2]
 
 
-def plain_verdict(raw):
+def plain_verdict(raw, knots):
     import math
 
     import zstandard
@@ -298,7 +310,6 @@ def plain_verdict(raw):
     def ratio(x):
         return len(x) / len(zstandard.ZstdCompressor(level=3).compress(x))
 
-    knots = quality_rules.CORPUS_BANDS
     below, above = [b for b in knots if b[0] <= len(raw)], [b for b in knots if b[0] > len(raw)]
     if below and above:
         (x, *p), (y, *q) = below[-1], above[0]
@@ -322,7 +333,8 @@ def test_bands_against_a_plain_version_and_labels(spark):
     folder = "/root/testdata/sf0.01"
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
     got = registry.QUERIES["op10_quality_rules"](spark, folder).collect()
-    assert all(r.kept == (not r.base_failed and plain_verdict(docs[r.doc_id].encode())) for r in got)
+    knots = quality_rules.fit_bands(*(spark.read.parquet(f"{folder}/{x}.parquet") for x in ("documents", "labels")))
+    assert all(r.kept == (not r.base_failed and plain_verdict(docs[r.doc_id].encode(), knots)) for r in got)
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
     judged = [(labels[r.doc_id], r.kept) for r in got if r.doc_id in labels and not r.base_failed]
     assert all(kept for label, kept in judged if label == 1) and sum(not kept for label, kept in judged if label == 0) > 5
@@ -334,6 +346,21 @@ def test_fitted_bands(spark):
     bands = quality_rules.fit_bands(docs, labels)
     assert len(bands) > 2 and all(low < high for _, low, high in bands) and [b[0] for b in bands] == sorted(b[0] for b in bands)
     assert quality_rules.fit_bands(docs, labels.limit(0)) == ()
+    assert bands[0][0] == quality_rules.BANDS[0][0] and bands[-1] == quality_rules.BANDS[-1]
+    assert quality_rules.bands_of(spark, docs, "/root/testdata/none") == quality_rules.BANDS
+
+
+def test_general_bands_keep_ordinary_text():
+    """Documentation and licences as they come, in slices of several lengths."""
+    import zstandard
+
+    compress = zstandard.ZstdCompressor(level=3).compress
+    folder = pathlib.Path(zstandard.__file__).parents[1]
+    files = sorted([*folder.rglob("*.md"), *folder.rglob("LICENSE*"), *pathlib.Path("/usr/share/common-licenses").glob("*")])
+    for size in (1024, 4096, 16384, 32768):
+        slices = [raw[:size] for f in files if f.is_file() and len(raw := f.read_bytes()) >= size]
+        kept = [quality_rules.band_verdict(x, compress) for x in slices]
+        assert len(kept) >= 5 and sum(within and 100 * share <= 5 for _, share, within in kept) >= 0.95 * len(kept), size
 
 
 def test_loser_tree():
@@ -354,3 +381,24 @@ def test_pipeline_against_its_parts(spark, texts):
     shingles = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i in kept for w in [texts[i].lower().split()]}
     near = [(a, b) for a, b in itertools.combinations(sorted(kept), 2) if len(shingles[a] & shingles[b]) >= 0.9 * len(shingles[a] | shingles[b]) > 0]
     assert not near
+
+
+def test_near_duplicate_stage_against_all_pairs(spark):
+    """Each group of 0.8 or more, found by comparing all pairs, keeps its least id; each row that goes has a partner that stays or goes with it."""
+    import corpus_pipeline
+
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    rows = {r.doc_id: (r.text or "").lower().split() for r in docs.collect()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in rows.items()}
+    least = {i: i for i in sets}
+    links = [(a, b) for a, b in itertools.combinations(sorted(sets), 2) if 5 * min(len(sets[a]), len(sets[b])) >= 4 * max(len(sets[a]), len(sets[b])) and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            m = min(least[a], least[b])
+            changed |= (least[a], least[b]) != (m, m)
+            least[a] = least[b] = m
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, folder).collect()}
+    assert kept == {i for i in sets if least[i] == i} and len(kept) < len(sets)
