@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from evidora.llm.decontaminate import remove_contaminated
 from evidora.llm.line_dedup import drop_common_lines
 from evidora.llm.packing import pack_documents
-from evidora.llm.quality_rules import CORPUS_BANDS, keep_good
+from evidora.llm.quality_rules import bands_of, keep_good
 from evidora.llm.shared import long_rows, written
 from evidora.llm.simhash import one_of_each_group
 from evidora.session import table
@@ -23,9 +23,9 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the compression bands."""
+    """Documents that pass the base rules and the compression bands, which labelled documents give where there are some."""
     long_rows(spark)
-    return keep_good(docs, bands=CORPUS_BANDS)
+    return keep_good(docs, bands=bands_of(spark, docs, sf_dir))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
