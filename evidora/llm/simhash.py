@@ -20,7 +20,7 @@ Repeated rows stay. Columns other than the two named are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -35,6 +35,7 @@ LEAF = 512  # pairs of leaves that are compared outright
 CHUNK = 1 << 16  # pairs of leaves compared at once
 NODES = 1 << 13  # node pairs expanded at once; the walk holds a few times as many on each of 64 levels
 HELD = 1 << 20  # 64-bit words of fingerprints that are searched together
+MARKS = [f"b{k}" for k in range(8)]
 TABLES, NEAR = 4, 5  # tables of fingerprints for sets of shingles, and how many bits may differ in one of them
 
 
@@ -108,15 +109,17 @@ class Forest:
         return self.parent
 
 
-def trie_forest(group: np.ndarray, fps: np.ndarray, budget: int, prune: int, pairs: list | None = None, every: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def trie_forest(group: np.ndarray, fps: np.ndarray, budget: int, prune: int, pairs: list | None = None, every: Callable | None = None, blocks: np.ndarray | None = None, parent: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Spanning forest of the links within groups; fps has a row of 64-bit words for each
     fingerprint, rows sorted by (group, first word). The trie is that of the first word, in which
     pairs of nodes with over ``prune`` differing bits go. Returns positions (child, root).
 
-    pairs takes links (i, j) that hold the components together, each within the budget; with ``every``, all links, and
-    no forest is grown."""
+    pairs takes links (i, j) that hold the components together, each within the budget; with ``every``, all links between the components
+    of ``parent`` for which every(i, j) holds, and no forest is grown. blocks: the block of bits of each row's bucket, if a link counts in the first one alone that its ends share."""
     n, top = len(fps), fps[:, 0]
     forest = Forest(n)
+    if parent is not None:
+        forest.parent = parent
     cuts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1], [True])))
     lo, hi = cuts[:-1], cuts[1:]
     alone = hi - lo > 1
@@ -137,7 +140,7 @@ def trie_forest(group: np.ndarray, fps: np.ndarray, budget: int, prune: int, pai
         a, b, c, d, err = (x[apart] for x in (a, b, c, d, err))
         leaf = ((b - a) * (d - c) <= LEAF) | (bit < 0)
         if leaf.any():
-            compare(forest, fps, a[leaf], b[leaf], c[leaf], d[leaf], budget, pairs, every)
+            compare(forest, fps, a[leaf], b[leaf], c[leaf], d[leaf], budget, pairs, every, blocks)
             a, b, c, d, err = (x[~leaf] for x in (a, b, c, d, err))
         if not len(a):
             continue
@@ -157,7 +160,7 @@ def trie_forest(group: np.ndarray, fps: np.ndarray, budget: int, prune: int, pai
     return child, root[child]
 
 
-def compare(forest: Forest, fps: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray, budget: int, pairs: list | None, every: bool) -> None:
+def compare(forest: Forest, fps: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray, budget: int, pairs: list | None, every: Callable | None, blocks: np.ndarray | None) -> None:
     """Link the leaves of node pairs outright, CHUNK pairs of leaves at a time."""
     size = (b - a) * (d - c)
     for part in np.split(np.arange(len(a)), np.flatnonzero(np.diff(np.cumsum(size) // CHUNK)) + 1):
@@ -171,14 +174,21 @@ def compare(forest: Forest, fps: np.ndarray, a: np.ndarray, b: np.ndarray, c: np
         i, j = i[apart], j[apart]
         near = np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1, dtype=np.int64) <= budget
         i, j = i[near], j[near]
-        if every:
-            once = i < j  # a node paired with itself gives both orders
+        if blocks is not None and len(i):  # a pair counts in the bucket of the first block that it agrees in
+            bits, block = fps[i, 0] ^ fps[j, 0], blocks[i]
+            first = np.full(len(i), len(EDGES), np.int64)
+            for k, (shift, width) in reversed(list(enumerate(EDGES))):
+                first[(bits >> np.uint64(shift)) & np.uint64((1 << width) - 1) == 0] = k
+            i, j = i[first == block], j[first == block]
+        if every is not None:
+            once = (i < j) & every(i, j)  # a node paired with itself gives both orders
             pairs.append((i[once], j[once]))
         elif pairs is None:
             forest.add(i, j)
         else:
+            root = forest.roots()
             while len(i):
-                own = np.unique(i, return_index=True)[1]
+                own = np.unique(root[i], return_index=True)[1]  # one link for each component, so that n entries give 2 n links at most
                 pairs.append((i[own], j[own]))
                 forest.add(i[own], j[own])
                 root = forest.roots()
@@ -196,13 +206,17 @@ def _blocks(bits: int, parts: int) -> list[tuple[int, int]]:
     return [(lo, hi - lo) for lo, hi in zip(edges, edges[1:], strict=False)]
 
 
-def exact_buckets(classes: DataFrame, budget: int, split_rows: int = 8192, tables: Column | None = None) -> DataFrame:
-    """Rows (key, sub, fp0): any two fp0 (of one of ``tables``, whose number is key >> 40) within ``budget`` bits share a bucket. Buckets are
+EDGES = _blocks(64, NEAR + 1)
+
+
+def exact_buckets(classes: DataFrame, budget: int, split_rows: int = 8192, tables: Column | None = None, others: list[str] | None = None) -> DataFrame:
+    """Rows (key, sub, fp0) and ``others``: any two fp0 (of one of ``tables``, whose number is key >> 40) within ``budget`` bits share a bucket. Buckets are
     blocks of bits; those of over ``split_rows`` are dealt again by blocks of the other bits."""
     blocks = _blocks(64, budget + 1)
     above = F.shiftleft((F.lit(0) if tables is None else tables).cast("long"), 40)
     keys = [above.bitwiseOR(F.lit(k << 20)).bitwiseOR(_block(F.col("fp0"), *b)) for k, b in enumerate(blocks)]
-    dealt = classes.select("fp0", F.explode(F.array(*keys)).alias("key"))
+    others = others or []
+    dealt = classes.select("fp0", *others, F.explode(F.array(*keys)).alias("key"))
     # at most (budget + 1) * 2**13 keys at the default budget, however many rows there are
     large = F.broadcast(dealt.groupBy("key").count().filter(F.col("count") > split_rows).select("key", F.lit(True).alias("large")))
     sub = F.when(F.col("large").isNull(), F.array(F.lit(0).cast("long")))
@@ -213,39 +227,54 @@ def exact_buckets(classes: DataFrame, budget: int, split_rows: int = 8192, table
         rest = F.shiftleft(high, shift).bitwiseOR(low)
         inner = (F.lit((j + 1) << 20).bitwiseOR(_block(rest, s, w)) for j, (s, w) in enumerate(_blocks(64 - width, budget + 1)))
         sub = sub.when(F.shiftrightunsigned(F.col("key"), 20).bitwiseAND(F.lit((1 << 20) - 1)) == k, F.array(*(x.cast("long") for x in inner)))
-    return dealt.join(large, "key", "left").select("key", F.explode(sub).alias("sub"), "fp0")
+    return dealt.join(large, "key", "left").select("key", F.explode(sub).alias("sub"), "fp0", *others)
 
 
-def trie_links(bucketed: DataFrame, words: int, budget: int, prune: int, real: str = "") -> DataFrame:
+def trie_links(bucketed: DataFrame, words: int, budget: int, prune: int, real: bool = False) -> DataFrame:
     """Links (a, b) between values of fp0 that hold the components of the fingerprints within
-    ``budget`` differing bits of a shared bucket together. real: "span" gives such links as are within the budget themselves, "every"
-    all that are, both with their bucket's key and with a label for the component in it."""
+    ``budget`` differing bits of a shared bucket together. real: such links as are within the budget themselves, with their bucket's key and
+    with a label for the component in it."""
     names = [f"fp{k}" for k in range(words)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def links(rows: pa.Table) -> pa.RecordBatch:
-            fps = np.stack([rows.column(x).to_numpy().view(np.uint64) for x in names], axis=1)
-            key, sub = rows.column("key").to_numpy(), rows.column("sub").to_numpy()
-            group = np.cumsum(np.concatenate(([0], (key[1:] != key[:-1]) | (sub[1:] != sub[:-1]))))
-            order = np.lexsort((fps[:, 0], group))
-            fps, key, sub = fps[order], key[order], sub[order]
-            pairs = [] if real else None
-            child, root = trie_forest(group[order], fps, budget, prune, pairs, real == "every")
-            if not real:
-                return pa.RecordBatch.from_arrays([pa.array(fps[x, 0].view(np.int64)) for x in (child, root)], names=["a", "b"])
-            top = np.arange(len(fps))
-            top[child] = root
-            i, j = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 2
-            label = fps[top[i], 0].view(np.int64) ^ key[i] * 0x9E3779B1 ^ sub[i] * 0x85EBCA6B
-            columns = [*(fps[x, 0].view(np.int64) for x in (i, j)), key[i], label]
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["a", "b", "key", "label"])
+    def links(rows: pa.Table) -> pa.RecordBatch:
+        fps, key, sub, group, order = in_trie_order(rows, names)
+        pairs = [] if real else None
+        child, root = trie_forest(group, fps, budget, prune, pairs, None, block_of(key) if real else None)
+        if not real:
+            return pa.RecordBatch.from_arrays([pa.array(fps[x, 0].view(np.int64)) for x in (child, root)], names=["a", "b"])
+        top = np.arange(len(fps))
+        top[child] = root
+        i, j = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 2
+        label = fps[top[i], 0].view(np.int64) ^ key[i] * 0x9E3779B1 ^ sub[i] * 0x85EBCA6B
+        columns = [*(fps[x, 0].view(np.int64) for x in (i, j)), key[i], label]
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["a", "b", "key", "label"])
+
+    return by_bucket(bucketed, links, "a long, b long" + ", key long, label long" * real, HELD // words)
+
+
+def block_of(key: np.ndarray) -> np.ndarray:
+    return (key >> 20) & ((1 << 20) - 1)
+
+
+def in_trie_order(rows: pa.Table, names: list[str]) -> tuple[np.ndarray, ...]:
+    """(words, key, sub, group, order) of rows by bucket and first word."""
+    fps = np.stack([rows.column(x).to_numpy().view(np.uint64) for x in names], axis=1)
+    key, sub = rows.column("key").to_numpy(), rows.column("sub").to_numpy()
+    group = np.cumsum(np.concatenate(([0], (key[1:] != key[:-1]) | (sub[1:] != sub[:-1]))))
+    order = np.lexsort((fps[:, 0], group))
+    return fps[order], key[order], sub[order], group[order], order
+
+
+def by_bucket(bucketed: DataFrame, links: Callable[[pa.Table], pa.RecordBatch], schema: str, most: int) -> DataFrame:
+    """links of whole buckets, about ``most`` rows at a time."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         n = 0
         for batch in batches:
             held.append(batch)
             n += batch.num_rows
-            if n * words >= HELD and batch.num_rows:
+            if n >= most and batch.num_rows:
                 key, sub = batch.column("key").to_numpy(), batch.column("sub").to_numpy()
                 before = np.flatnonzero((key != key[-1]) | (sub != sub[-1]))
                 last = held[-2] if len(held) > 1 and held[-2].num_rows else None
@@ -261,7 +290,7 @@ def trie_links(bucketed: DataFrame, words: int, budget: int, prune: int, real: s
         if held:
             yield links(pa.Table.from_batches(held))
 
-    return bucketed.repartition("key", "sub").sortWithinPartitions("key", "sub").mapInArrow(giving_back(run), "a long, b long" + ", key long, label long" * bool(real))
+    return bucketed.repartition("key", "sub").sortWithinPartitions("key", "sub").mapInArrow(giving_back(run), schema)
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -310,7 +339,7 @@ def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, text_hash, fp0, size, words): fp0 a digest of the set of shingles of ``width`` words, words a fingerprint for each of
+    """(id, text_hash, fp0, size, b0 ... b7, words): fp0 a digest of the set of shingles of ``width`` words, the marks the parity of its shingles in 512 places, words a fingerprint for each of
     ``TABLES`` families of hashes, over the set of words: a changed word changes one of those, and five shingles of five words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,7 +347,7 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
 
         for batch in batches:
             n = batch.num_rows
-            digests, sizes, words = np.zeros(n, np.uint64), np.zeros(n, np.int64), np.zeros((n, TABLES), np.uint64)
+            digests, sizes, words, marks = np.zeros(n, np.uint64), np.zeros(n, np.int64), np.zeros((n, TABLES), np.uint64), np.zeros((n, 8), np.uint64)
             for i, text in enumerate(batch.column(2)):
                 text = text.as_py()
                 own = np.unique(shingle_hashes(text, width))
@@ -326,11 +355,48 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
                 single = np.unique(shingle_hashes(text, 1))
                 for k in range(TABLES):
                     words[i, k] = majority(mixed(single, k))[0]
+                places = np.bincount((own & np.uint64(511)).astype(np.int64), minlength=512) & 1
+                marks[i] = np.packbits(places.astype(np.uint8), bitorder="little").view("<u8")
             lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * TABLES), pa.array(words.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(digests.view(np.int64)), pa.array(sizes), lists], names=["id", "text_hash", "fp0", "size", "words"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(digests.view(np.int64)), pa.array(sizes), *(pa.array(marks[:, k].copy().view(np.int64)) for k in range(8)), lists], names=["id", "text_hash", "fp0", "size", *MARKS, "words"])
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    return source.mapInArrow(giving_back(run), "id long, text_hash long, fp0 long, size long, words array<long>")
+    return source.mapInArrow(giving_back(run), f"id long, text_hash long, fp0 long, size long, {', '.join(f'{x} long' for x in MARKS)}, words array<long>")
+
+
+def open_links(own: DataFrame, similarity: Fraction, most: int | None) -> DataFrame:
+    """Candidates (a, b) in two components, from rows (t, word, fp0, root, size, marks): those that sizes and parities allow, the ``most`` nearest
+    of each set in a bucket, or all. Only what is left of them leaves a task."""
+    p, q = similarity.numerator, similarity.denominator
+    others = ["own", "root", "size", *MARKS]
+
+    def links(rows: pa.Table) -> pa.RecordBatch:
+        fps, key, _, group, order = in_trie_order(rows, ["fp0"])
+        name, root, size = (rows.column(c).to_numpy()[order] for c in others[:3])
+        marks = np.stack([rows.column(c).to_numpy()[order] for c in MARKS], axis=1)
+        _, first, inverse = np.unique(root, return_index=True, return_inverse=True)
+
+        def differ(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            """Never more than the shingles in one set only."""
+            return np.bitwise_count(marks[i] ^ marks[j]).sum(axis=1, dtype=np.int64)
+
+        def allowed(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+            return (small * q >= large * p) & (differ(i, j) * (p + q) <= (small + large) * (q - p))
+
+        pairs: list = []
+        trie_forest(group, fps, NEAR, NEAR, pairs, allowed, block_of(key), first[inverse])
+        i, j = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 2
+        if most is not None and len(i):
+            both, far = np.concatenate((i, j)), np.tile(differ(i, j), 2)
+            at = np.lexsort((far, both))
+            rank = np.arange(len(at)) - np.searchsorted(both[at], both[at])
+            near = np.unique(at[rank < most] % len(i))
+            i, j = i[near], j[near]
+        return pa.RecordBatch.from_arrays([pa.array(name[x], pa.int64()) for x in (i, j)], names=["a", "b"])
+
+    rows = own.select("t", F.col("word").alias("fp0"), F.col("fp0").alias("own"), *others[1:])
+    return by_bucket(exact_buckets(rows, NEAR, tables=F.col("t"), others=others), links, "a long, b long", HELD // 10)
 
 
 def rooted(pairs: DataFrame, member: DataFrame) -> DataFrame:
@@ -388,25 +454,21 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     entry of a trie, with one of their sets for all, so that large groups of near copies stay small.
 
     Each set is first compared with one candidate, then along the links of the tries' spanning forests that still join two components; a group
-    of n near copies costs about n comparisons. Where such a link is no real one, all candidate pairs of two components in its part of the tries
-    are compared, so that no candidate is left out."""
+    of n near copies costs about n comparisons. Where such a link is no real one, the nearest candidates of each set in its part of the tries are compared,
+    and in the end all candidate pairs of two components that sizes and parities allow, so that none is left out."""
     least = Fraction(str(similarity))
     sets = written(sketched(docs, id_col, text_col, width), "sets")
-    classes = written(sets.groupBy("fp0").agg(F.min(F.struct("text_hash", "id", "size", "words")).alias("r")).select("fp0", "r.*"), "classes")
+    classes = written(sets.groupBy("fp0").agg(F.min(F.struct("text_hash", "id", "size", *MARKS, "words")).alias("r")).select("fp0", "r.*"), "classes")
     words = classes.select("fp0", F.posexplode("words").alias("t", "word"))
     entries = written(words.groupBy("t", "word").agg(F.min("fp0").alias("rep"), F.count("*").alias("n")), "entries")
 
-    def tries(own: DataFrame, real: str) -> DataFrame:
-        """(t, wa, wb, label): near words of the entries."""
-        found = trie_links(exact_buckets(own.select("t", F.col("word").alias("fp0")), NEAR, tables=F.col("t")), 1, NEAR, NEAR, real)
-        return found.select(F.shiftrightunsigned("key", 40).cast("int").alias("t"), F.col("a").alias("wa"), F.col("b").alias("wb"), "label")
-
     def reps(near: DataFrame) -> DataFrame:
         x, y = (entries.select("t", F.col("word").alias(f"w{c}"), F.col("rep").alias(c)) for c in "ab")
         return near.join(x, ["t", "wa"]).join(y, ["t", "wb"])
 
     same = words.join(entries.filter("n > 1"), ["t", "word"]).filter("fp0 <> rep").select("t", "word", F.col("fp0").alias("a"), F.col("rep").alias("b"))
-    near = written(reps(tries(entries, "span")), "near")
+    found = trie_links(exact_buckets(entries.select("t", F.col("word").alias("fp0")), NEAR, tables=F.col("t")), 1, NEAR, NEAR, True)
+    near = written(reps(found.select(F.shiftrightunsigned("key", 40).cast("int").alias("t"), F.col("a").alias("wa"), F.col("b").alias("wb"), "label")), "near")
     edges = written(sized(same.select("a", "b").union(near.select("a", "b")), classes, least), "edges")
     tried = edges.groupBy("a").agg(F.min("b").alias("b"))
     links = written(confirmed(tried, classes, docs, id_col, text_col, width, least), "links")
@@ -419,13 +481,14 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ends = near.select("t", F.col("wa").alias("word"), "label").union(near.select("t", F.col("wb").alias("word"), "label"))
     labels = rooted(near, member).select("label").union(ends.join(split, ["t", "word"]).select("label")).distinct()
     opened = written(ends.join(labels, "label").select("t", "word").union(split).distinct(), "opened")
-    if not opened.isEmpty():
-        own = words.join(opened, ["t", "word"]).join(member.toDF("fp0", "root"), "fp0", "left").select("t", "word", "fp0", F.coalesce("root", "fp0").alias("root"))
-        every = tries(opened, "every").select("t", "wa", "wb").union(opened.select("t", F.col("word").alias("wa"), F.col("word").alias("wb"))).distinct()
-        x, y = (own.toDF("t", f"w{c}", c, f"r{c}") for c in "ab")
-        pairs = every.join(x, ["t", "wa"]).join(y, ["t", "wb"]).filter("ra <> rb").select("a", "b")
-        rest = written(sized(pairs, classes, least).join(tried.union(more), ["a", "b"], "left_anti"), "rest")
+    known = tried.union(more)
+    for most in () if opened.isEmpty() else (4, None):
+        own = words.join(opened, ["t", "word"]).join(member.toDF("fp0", "root"), "fp0", "left").join(classes.select("fp0", "size", *MARKS), "fp0")
+        pairs = open_links(own.withColumn("root", F.coalesce("root", "fp0")), least, most)
+        rest = written(sized(pairs, classes, least).join(known, ["a", "b"], "left_anti"), "rest")
         links = written(links.union(confirmed(rest, classes, docs, id_col, text_col, width, least)), "links")
+        known = known.union(rest)
+        member = components(links) if most else member
     return sets.select("id", "text_hash", "fp0"), links
 
 
