@@ -373,7 +373,7 @@ def open_links(own: DataFrame, similarity: Fraction, most: int | None) -> DataFr
     def links(rows: pa.Table) -> pa.RecordBatch:
         fps, key, _, group, order = in_trie_order(rows, ["fp0"])
         name, root, size = (rows.column(c).to_numpy()[order] for c in others[:3])
-        marks = np.stack([rows.column(c).to_numpy()[order] for c in MARKS], axis=1)
+        marks = np.stack([rows.column(c).to_numpy()[order] for c in MARKS], axis=1).view(np.uint64)
         _, first, inverse = np.unique(root, return_index=True, return_inverse=True)
 
         def differ(i: np.ndarray, j: np.ndarray) -> np.ndarray:
