@@ -36,8 +36,11 @@ def bm25(docs: DataFrame, terms: DataFrame, own: Retrieval = Retrieval()) -> Dat
     """(query_id, ord, score) of documents that share a term. Only the queries' terms are exploded into
     postings, so the shuffle is that of their occurrences and not of all words."""
     tokens = index.doc_tokens(docs)
-    stats = index.corpus_stats(tokens)
-    found = index.postings(tokens, terms.select("term").distinct())
+    return scored(index.postings(tokens, terms.select("term").distinct()), terms, index.corpus_stats(tokens), own)
+
+
+def scored(found: DataFrame, terms: DataFrame, stats: DataFrame, own: Retrieval = Retrieval()) -> DataFrame:
+    """(query_id, ord, score) from the postings (ord, doc_len, term, tf) of all the queries' terms and the corpus statistics."""
     df = found.groupBy("term").agg(F.count("*").alias("df"))
     weight = df.crossJoin(stats).select("term", "avg_len", index.idf(F.col("df"), F.col("n_docs")).alias("idf"))
     joined = found.join(terms.join(weight, "term"), "term")

@@ -10,8 +10,9 @@ from evidora.config import Retrieval
 from evidora.functions import stats
 from evidora.functions import text as T
 from evidora.operators import index, retrieve
+from evidora.operators.segments import SegmentedIndex
 from evidora.plans import sql as S
-from evidora.session import table
+from evidora.session import scratch, table
 
 OWN = Retrieval()
 
@@ -57,6 +58,18 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("query_id").alias("item_id"), F.col("ord").alias("doc_id"), "score", "rank")
 
 
+def bm25_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stored index: built over 98 in 100 documents, some of them in an older text, and then brought up to date."""
+    every = docs(spark, sf_dir)
+    part = F.pmod("ord", F.lit(100))
+    older = every.filter(part != 7).withColumn("text", F.when(part == 8, F.concat(F.coalesce("text", F.lit("")), F.lit(" earlier edition"))).otherwise(F.col("text")))
+    stored = SegmentedIndex(spark, scratch(spark, "segments"))
+    stored.update(older.unionByName(older.filter(part == 9).withColumn("ord", -F.col("ord") - 1)))
+    stored.update(every)
+    found = stored.search(items(spark, sf_dir), 10)
+    return found.select(F.col("query_id").alias("item_id"), F.col("ord").alias("doc_id"), "score", "rank")
+
+
 def prf_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = retrieve.feedback_terms(docs(spark, sf_dir), items(spark, sf_dir))
     return found.select(F.col("query_id").alias("item_id"), "term", "times")
@@ -141,7 +154,7 @@ def lsa_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    jaccard_pairs, term_stats, bm25_idf, specific_vocab, bigram_low_df, bm25_topk, prf_expand, char_ngram_topk, cosine_topk, cosine_topk_by_label,
+    jaccard_pairs, term_stats, bm25_idf, specific_vocab, bigram_low_df, bm25_topk, bm25_segments, prf_expand, char_ngram_topk, cosine_topk, cosine_topk_by_label,
     recall_mrr_ndcg, rrf_fusion, heuristic_rerank, hybrid_search, dedup_greedy, lsa_topk,
 )}
 
@@ -205,6 +218,7 @@ ORACLES = {
     "specific_vocab": f"WITH {BASE} SELECT term, round(idf, 6) AS idf FROM i WHERE round(idf, 9) >= 2.5",
     "bigram_low_df": f"WITH {BASE}, g AS (SELECT bigram, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(c)), lambda k: c[k] || ' ' || c[k + 1])) AS bigram FROM d) GROUP BY bigram) SELECT df, count(*) AS n_bigrams, min(bigram) AS first FROM g WHERE df < 5 GROUP BY df",
     "bm25_topk": f"WITH {BASE}, {bm25_sql('b', 'qt')} SELECT item_id, doc_id, score, rank FROM b WHERE rank <= 10",
+    "bm25_segments": f"WITH {BASE}, {bm25_sql('b', 'qt')} SELECT item_id, doc_id, score, rank FROM b WHERE rank <= 10",
     "prf_expand": f"WITH {BASE}, {PRF} SELECT item_id, term, 2 * times AS times FROM qt UNION ALL SELECT item_id, term, 1 FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY weight DESC, place, term) AS r FROM pw) WHERE r <= 5",
     "char_ngram_topk": f"WITH {BASE}, {CHARS} SELECT item_id, doc_id, score, rank FROM ch WHERE rank <= 10",
     "cosine_topk": f"WITH {COSINE} SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10",

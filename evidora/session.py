@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -21,6 +23,16 @@ def build_session(master: str = "local[8]", app: str = "evidora", **conf: str) -
     return builder.getOrCreate()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path below spark.checkpoint.dir, the folder that all executors share; a local master without that setting gets one under /tmp."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = "/tmp/checkpoints/evidora"
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables below ``sf_dir``; any path that Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
