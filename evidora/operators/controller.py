@@ -378,11 +378,12 @@ def look_ahead(session: Session, utterance_id: str, known: Vocabulary, own: C.Co
     return new, stale
 
 
-def degraded(session: Session) -> list[dict[str, Any]]:
-    """Turn rows of the utterances that are given up before their end, whose searches are all cancelled."""
+def degraded(session: Session, only: set[str] | None = None) -> list[dict[str, Any]]:
+    """Turn rows of the utterances (all, or those named) that are given up before their end, whose searches are all cancelled."""
     return [
         {"row": "turn", "utterance_id": uid, "turn_kind": u.kind or "new_request", "reason": "degraded", "live": [], "cancelled": u.cancelled + [q.query_id for q in u.live], "retrieval_required": u.issued > 0}
         for uid, u in session.open.items()
+        if only is None or uid in only
     ]
 
 
