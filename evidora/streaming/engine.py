@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from evidora.config import Controller
 from evidora.functions import text as T
+from evidora.operators import scans
 from evidora.operators.controller import Session, Vocabulary, degraded, step
 
 ROWS = (
@@ -26,11 +27,12 @@ _KINDS = {"string": pa.string(), "long": pa.int64(), "double": pa.float64(), "bo
 _TYPES = [_KINDS[x.split()[1]] for x in ROWS.split(", ")]
 
 
-def with_session(events: DataFrame) -> DataFrame:
+def with_session(events: DataFrame, width: int = scans.HOUR) -> DataFrame:
     """Events without a session get the last one named before them, or 'default'; right only where a stream
-    holds one session at a time, as (source, timestamp_ms, seq) orders them."""
-    by = Window.partitionBy("source").orderBy("timestamp_ms", "seq")
-    return events.withColumn("session_id", F.coalesce("session_id", F.last("session_id", ignorenulls=True).over(by), F.lit("default")))
+    holds one session at a time, as (source, timestamp_ms, seq) orders them. A source is cut into stretches of ``width`` ms over tasks.
+    ``streaming.sessions`` has the form for streams."""
+    known = scans.last_known(events, ["source"], "timestamp_ms", ["timestamp_ms", "seq"], "session_id", "session_id", width)
+    return known.withColumn("session_id", F.coalesce("session_id", F.lit("default")))
 
 
 def replay(events: DataFrame, mode: str = "streaming", known: Vocabulary = Vocabulary(), own: Controller = Controller()) -> DataFrame:
