@@ -184,6 +184,11 @@ def needs_context(text: Column) -> Column:
     return F.ltrim(text).rlike(f"(?i){C.NEEDS_CONTEXT}")
 
 
+def continues(text: Column) -> Column:
+    """Opens with a word that refers to the sentence before; null is no sentence and opens with none."""
+    return F.coalesce(text.rlike(f"(?i){C.CONTINUES}"), F.lit(False))
+
+
 def speech_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9']+"), F.lit(0))
 

@@ -28,13 +28,25 @@ def relevant(query: Column, sentence: Column, specific: Column | None = None, ow
     return (n > 0) & (T.ratio(F.size(shared), n) >= least_relevance(n, own)) & (several | telling)
 
 
+def section_scope(evidence: DataFrame, sections: DataFrame) -> DataFrame:
+    """Evidence whose text is that of the whole section that its citation names, where there is one: a long section is cut into several chunks,
+    and the answer may stand in another than the one found. Of sections with one citation the first text counts."""
+    whole = sections.filter("text IS NOT NULL").groupBy("citation").agg(F.min("text").alias("_whole"))
+    return evidence.join(whole, "citation", "left").withColumn("text", F.coalesce("_whole", "text")).drop("_whole").select(*evidence.columns)
+
+
+def continued(sentence: Column, following: Column, own: Answers) -> Column:
+    """A claim's sentence with the next one behind it, if that refers back to it and the setting asks for it."""
+    return F.when(T.continues(following), F.concat_ws(" ", sentence, following)).otherwise(sentence) if own.anaphoric_continuation else sentence
+
+
 def best_sentences(evidence: DataFrame) -> DataFrame:
     """The sentence of each chunk that covers most of the query, the earlier of equals. evidence: (query_id, query, rank,
     citation, text[, specific])."""
     distinct = F.array_distinct(T.sentences(F.col("text")))
-    rows = evidence.withColumn("own", T.content_set(F.col("query"))).select("*", F.posexplode(distinct).alias("at", "sentence"))
+    rows = evidence.withColumn("own", T.content_set(F.col("query"))).withColumn("_all", distinct).select("*", F.posexplode("_all").alias("at", "sentence")).withColumn("following", F.get("_all", F.col("at") + 1))
     scored = rows.withColumn("covered", F.when(F.size(T.content_set(F.col("sentence"))) == 0, -1.0).otherwise(T.coverage(F.col("own"), T.content_set(F.col("sentence")))))
-    first = F.max_by(F.struct("sentence", "at", "own", "covered", *(["specific"] if "specific" in evidence.columns else [])), F.struct("covered", -F.col("at")))
+    first = F.max_by(F.struct("sentence", "at", "own", "covered", "following", *(["specific"] if "specific" in evidence.columns else [])), F.struct("covered", -F.col("at")))
     return scored.groupBy("query_id", "query", "rank", "citation").agg(first.alias("b")).select("query_id", "query", "rank", "citation", "b.*")
 
 
@@ -43,16 +55,18 @@ def claims(evidence: DataFrame, own: Answers = Answers()) -> DataFrame:
     found = best_sentences(evidence)
     specific = F.col("specific") if "specific" in found.columns else None
     fit = found.filter(relevant(F.col("own"), T.content_set(F.col("sentence")), specific, own))
+    fit = fit.withColumn("sentence", continued(F.col("sentence"), F.col("following"), own))
     first = fit.groupBy("query_id", "query").agg(F.min_by(F.struct("sentence", "citation", "rank"), "rank").alias("c"))
     return first.select("query_id", "query", F.col("c.sentence").alias("claim"), "c.citation", "c.rank")
 
 
 def scored_claims(evidence: DataFrame, scorer, own: Answers = Answers(), top: int = 3) -> DataFrame:
     """As ``claims`` by a scorer of (query, title: sentence) pairs over the first chunks; below the threshold there is none."""
-    rows = evidence.filter(F.col("rank") <= top).select("query_id", "query", "rank", "citation", "title", F.posexplode(F.array_distinct(T.sentences(F.col("text")))).alias("at", "sentence"))
+    rows = evidence.filter(F.col("rank") <= top).select("query_id", "query", "rank", "citation", "title", F.array_distinct(T.sentences(F.col("text"))).alias("_all"))
+    rows = rows.select("*", F.posexplode("_all").alias("at", "sentence")).withColumn("following", F.get("_all", F.col("at") + 1))
     rows = rows.filter(F.size(T.content(F.col("sentence"))) > 0).withColumn("s", scorer(F.col("query"), F.when(F.col("title") == "", F.col("sentence")).otherwise(F.concat_ws(": ", "title", "sentence"))))
-    best = rows.groupBy("query_id", "query").agg(F.max_by(F.struct("sentence", "citation", "s"), F.struct("s", -F.col("rank"), -F.col("at"))).alias("c"))
-    return best.filter(F.col("c.s") >= own.claim_threshold).select("query_id", "query", F.col("c.sentence").alias("claim"), "c.citation", F.col("c.s").alias("score"))
+    best = rows.groupBy("query_id", "query").agg(F.max_by(F.struct("sentence", "following", "citation", "s"), F.struct("s", -F.col("rank"), -F.col("at"))).alias("c"))
+    return best.filter(F.col("c.s") >= own.claim_threshold).select("query_id", "query", continued(F.col("c.sentence"), F.col("c.following"), own).alias("claim"), "c.citation", F.col("c.s").alias("score"))
 
 
 def with_context(claims_: DataFrame, sections: DataFrame) -> DataFrame:

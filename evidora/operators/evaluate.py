@@ -6,6 +6,8 @@ across scenarios. All is grouped aggregation; turns are never gathered into arra
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -106,20 +108,35 @@ def new_claims(claims: DataFrame) -> DataFrame:
     return claims.filter("change_kind <> 'restructure'").join(parent, ["session_id", "parent_version", "text", "citations"], "left_anti")
 
 
-def bootstrap(items: DataFrame, n_boot: int = 4000, seed: int = 0) -> DataFrame:
-    """(observed, low, high) of the mean of a - b over paired items (cluster, a, b), whole clusters drawn with replacement. Draws are
-    hashes, so any number of executors makes the same ones. Clusters are summed first, so the draws need two numbers a cluster."""
-    from pyspark.sql import Window
+PER_BUCKET = 1 << 16
+
 
-    clusters = items.groupBy("cluster").agg(F.sum(F.col("a") - F.col("b")).alias("d"), F.count("*").alias("n"))
+def bootstrap(items: DataFrame, n_boot: int = 4000, seed: int = 0, per_bucket: int = PER_BUCKET) -> DataFrame:
+    """(observed, low, high) of the mean of a - b over paired items (cluster, a, b), whole clusters drawn with replacement. Clusters are summed first
+    and dealt by hash to buckets of about ``per_bucket``. How many of a resample's draws fall to each bucket is one multinomial draw, seeded by the
+    resample, that every task makes alike; which of its clusters they take, each task draws for its own bucket. So a bucket gives ``n_boot`` rows
+    whatever it holds, and a task holds one bucket's sums. Any number of executors makes the same draws."""
+    clusters = items.groupBy("cluster").agg(F.sum(F.col("a") - F.col("b")).cast("double").alias("d"), F.count("*").alias("n"))
     size = clusters.count()
     if not size:
         return items.sparkSession.createDataFrame([(0.0, 0.0, 0.0)], "observed double, low double, high double")
-    numbered = clusters.withColumn("at", F.row_number().over(Window.orderBy("cluster")) - 1)
-    # a cluster's count in a resample is Poisson in the limit; here each resample draws `size` places exactly
-    draws = items.sparkSession.range(n_boot * size).select(F.floor(F.col("id") / F.lit(size)).alias("b"), F.pmod(F.col("id"), F.lit(size)).cast("int").alias("k"))
-    drawn = draws.select("b", F.pmod(F.xxhash64(F.lit(seed), "b", "k"), F.lit(size)).cast("int").alias("at"))
-    means = drawn.groupBy("b", "at").count().join(numbered, "at").groupBy("b").agg((F.sum(F.col("count") * F.col("d")) / F.sum(F.col("count") * F.col("n"))).alias("m"))
+    buckets = -(-size // per_bucket)
+    dealt = clusters.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), F.col("cluster").cast("string")), F.lit(buckets)).cast("int"))
+    held = {r.bucket: r.n for r in dealt.groupBy("bucket").agg(F.count("*").alias("n")).collect()}  # a number a bucket
+    shares = np.array([held.get(k, 0) for k in range(buckets)], dtype="float64") / size
+
+    def draw(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf.sort_values(["cluster", "d", "n"], kind="stable")
+        d, n, at = own["d"].to_numpy(), own["n"].to_numpy(), int(key[0])
+        rows = np.zeros((n_boot, 2))
+        for b in range(n_boot):
+            taken = np.random.default_rng([seed, b]).multinomial(size, shares)[at]
+            times = np.bincount(np.random.default_rng([seed, b, at + 1]).integers(0, len(d), taken), minlength=len(d))
+            rows[b] = times @ d, times @ n
+        return pd.DataFrame({"b": np.arange(n_boot), "d": rows[:, 0], "n": rows[:, 1]})
+
+    parts = dealt.withColumn("cluster", F.col("cluster").cast("string")).groupBy("bucket").applyInPandas(draw, "b long, d double, n double")
+    means = parts.groupBy("b").agg((F.sum("d") / F.sum("n")).alias("m"))
     bounds = means.agg(F.array_sort(F.collect_list("m")).alias("m"))  # n_boot numbers
     observed = clusters.agg((F.sum("d") / F.sum("n")).alias("observed"))
     return observed.crossJoin(bounds).select("observed", F.get("m", F.lit(int(0.025 * (n_boot - 1)))).alias("low"), F.get("m", F.lit(int(0.975 * (n_boot - 1)))).alias("high"))

@@ -46,6 +46,15 @@ def best_span(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spoken.best_spans(rows)
 
 
+def spoken_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and benchmark items by the longest title that they begin with: the first one, two and three words of labelled documents."""
+    docs = table(spark, sf_dir, "documents")
+    good = docs.join(table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi")
+    titles = good.select(F.col("doc_id").alias("title_id"), F.explode(F.array(*[F.substring_index("text", " ", k) for k in (1, 2, 3)])).alias("title"))
+    texts = docs.select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text").union(table(spark, sf_dir, "benchmark").select(F.lit("item"), F.col("item_id"), "text"))
+    return spoken.longest_prefix(texts, titles).select("kind", "id", "title_id", "title")
+
+
 def replayed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events staged, streamed from the replay source and stored, each row with the number of the step that it came in."""
     folder, out = scratch(spark, "replay"), scratch(spark, "replayed")
@@ -61,7 +70,7 @@ def replayed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(source.schema).parquet(out).select("seq", "session_id", "timestamp_ms", "event_type")
 
 
-QUERIES = {f.__name__: f for f in (session_inference, serial_decode, restream, best_span, replayed_events)}
+QUERIES = {f.__name__: f for f in (session_inference, serial_decode, restream, best_span, spoken_titles, replayed_events)}
 
 _TIMED = "t AS (SELECT CAST(user_id AS VARCHAR) AS source, CASE WHEN event_type = 'click' THEN 's' || event_id END AS session_id, epoch_us(ts) // 1000 AS timestamp_ms, event_id AS seq, event_type, value FROM events)"
 
@@ -91,5 +100,9 @@ b AS (SELECT f.query_id, f.passage, f.i AS first, t.i AS last, f.s + t.e AS scor
 n AS (SELECT query_id, min(CAST(s[1] AS DOUBLE) + CAST(e[1] AS DOUBLE)) AS least FROM v GROUP BY ALL)
 SELECT b.query_id, score - least AS margin, score, passage, CAST(first AS INTEGER) AS first, CAST(last AS INTEGER) AS last FROM b JOIN n USING (query_id)
 QUALIFY row_number() OVER (PARTITION BY b.query_id ORDER BY score DESC, passage, first, last) = 1""",
+    "spoken_titles": """WITH g AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
+t AS (SELECT title, min(doc_id) AS title_id FROM (SELECT doc_id, unnest([array_to_string(w[1:1], ' '), array_to_string(w[1:2], ' '), array_to_string(w[1:3], ' ')]) AS title FROM g) WHERE title <> '' GROUP BY title),
+x AS (SELECT 'document' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'item', item_id, text FROM benchmark)
+SELECT kind, id, title_id, title FROM x LEFT JOIN t ON starts_with(text, title) QUALIFY row_number() OVER (PARTITION BY kind, id ORDER BY length(title) DESC NULLS LAST) = 1""",
     "replayed_events": "SELECT event_id AS seq, CAST(user_id AS VARCHAR) AS session_id, epoch_us(ts) // 1000 AS timestamp_ms, event_type FROM events",
 }

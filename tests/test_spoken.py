@@ -97,6 +97,20 @@ def test_best_spans_equal_all_pairs(spark):
     assert got == want and 4 in got and 0 not in got
 
 
+def test_longest_prefix_equals_brute_force_with_a_hot_stem(spark):
+    rng = random.Random(6)
+    titles = [(k, "the " + "".join(rng.choice("ab ") for _ in range(rng.randint(0, 6)))) for k in range(60)] + [(100, "ze"), (101, "ze"), (102, ""), (103, None), (104, "été 😀")]
+    texts = [(k, "the " + "".join(rng.choice("ab ") for _ in range(rng.randint(0, 12)))) for k in range(300)]
+    texts += [(900, None), (901, ""), (902, "z"), (903, "zebra"), (904, "été 😀!"), (905, "zebra"), (905, "zebra")]
+    got = spoken.longest_prefix(spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame(titles, "title_id long, title string"))
+    want = []
+    for i, text in texts:
+        fit = [(-len(t), k, t) for k, t in titles if t and (text or "").startswith(t)]
+        want.append((i, text, *(min(fit)[1:] if fit else (None, None))))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    assert [r.title for r in spoken.longest_prefix(got.select("id", "text").limit(3), spark.createDataFrame([], "title_id long, title string")).collect()] == [None] * 3
+
+
 @pytest.fixture
 def staged(spark):
     spark.dataSource.register(replay.ReplaySource)
