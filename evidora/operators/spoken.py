@@ -42,21 +42,23 @@ def longest_prefix(texts: DataFrame, titles: DataFrame) -> DataFrame:
 
     Titles are put under their first characters, as many as the shortest has; each such stem gives the lengths of its titles, one row a stem. A text meets
     its stem, then only prefixes of those lengths, and each prefix one title at most. So no pairs are made beside those, texts of a hot stem can be
-    split over tasks, as one row stands on the other side, and the texts themselves aren't multiplied: hashes of their prefixes are."""
+    split over tasks, as one row stands on the other side. Texts aren't multiplied, hashes of their prefixes are, and of a text only its beginning, as
+    long as the longest title, is shuffled to find it."""
     known = titles.filter("title <> ''").groupBy("title").agg(F.min("title_id").alias("title_id"))
-    shortest = known.agg(F.min(F.char_length("title"))).first()[0] or 1  # one number
+    bounds = known.agg(F.min(F.char_length("title")), F.max(F.char_length("title"))).first()  # two numbers
+    shortest, longest = (n or 1 for n in bounds)
     stem = lambda c: F.xxhash64(F.left(c, F.lit(shortest)))
     lengths = known.groupBy(stem(F.col("title")).alias("_stem")).agg(F.collect_set(F.char_length("title")).alias("_lengths"))
     hashed = F.transform(
-        F.filter("_lengths", lambda n: n <= F.char_length("text")),
-        lambda n: F.struct(n.alias("n"), F.xxhash64(F.left("text", n)).alias("h"), F.xxhash64(F.lit("check"), F.left("text", n)).alias("g")),
+        F.filter("_lengths", lambda n: n <= F.char_length("_head")),
+        lambda n: F.struct(n.alias("n"), F.xxhash64(F.left("_head", n)).alias("h"), F.xxhash64(F.lit("check"), F.left("_head", n)).alias("g")),
     )
-    own = texts.withColumn("_text_key", F.xxhash64("text"))
-    distinct = own.filter("text IS NOT NULL").select("_text_key", "text", stem(F.col("text")).alias("_stem")).dropDuplicates(["text"])
-    tried = distinct.join(lengths, "_stem").select("_text_key", F.xxhash64(F.lit("check"), "text").alias("_text_check"), F.inline(hashed))
+    own = texts.withColumns({"_text_key": F.xxhash64("text"), "_text_check": F.xxhash64(F.lit("check"), "text")})
+    heads = own.filter("text IS NOT NULL").select("_text_key", "_text_check", F.left("text", F.lit(longest)).alias("_head"), stem(F.col("text")).alias("_stem"))
+    tried = heads.join(lengths, "_stem").select("_text_key", "_text_check", F.inline(hashed))
     keyed = known.select(F.char_length("title").alias("n"), F.xxhash64("title").alias("h"), F.xxhash64(F.lit("check"), "title").alias("g"), "title", "title_id")
     best = tried.join(keyed, ["n", "h", "g"]).groupBy("_text_key", "_text_check").agg(F.max_by(F.struct("title", "title_id"), "n").alias("_best"))
-    found = own.withColumn("_text_check", F.xxhash64(F.lit("check"), "text")).join(best, ["_text_key", "_text_check"], "left")
+    found = own.join(best, ["_text_key", "_text_check"], "left")
     return found.select(*texts.columns, F.col("_best.title_id").alias("title_id"), F.col("_best.title").alias("title"))
 
 
