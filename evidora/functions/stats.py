@@ -1,4 +1,4 @@
-"""Intervals, percentiles and rank measures as Column expressions."""
+"""Intervals and rank measures as Column expressions."""
 
 from __future__ import annotations
 
@@ -15,15 +15,6 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     return F.when(n == 0, 0.0).otherwise(F.greatest(F.lit(0.0), centre - half)), F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), centre + half))
 
 
-def percentile_linear(x: Column, q: float) -> Column:
-    return F.percentile(x, q)
-
-
-def percentile_nearest(column: str, q: float) -> Column:
-    """The least value with at least a share of q at or below it."""
-    return F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY `{column}`)")
-
-
 def at_rank(gold: Column, k: int) -> Column:
     return F.avg(F.when(gold <= k, 1.0).otherwise(0.0))
 

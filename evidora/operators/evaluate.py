@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evidora.operators import ranks
+
 TURN = ["session_id", "utterance_id"]
 GATES = {"early": (0.80, 1.0), "false_trigger": (0.10, 0.0), "multi_intent": (0.70, 1.0), "grounding": (0.85, 1.0), "lineage": (1.0, 1.0), "coverage": (1.0, 1.0)}
 
@@ -142,15 +144,25 @@ def bootstrap(items: DataFrame, n_boot: int = 4000, seed: int = 0, per_bucket: i
     return observed.crossJoin(bounds).select("observed", F.get("m", F.lit(int(0.025 * (n_boot - 1)))).alias("low"), F.get("m", F.lit(int(0.975 * (n_boot - 1)))).alias("high"))
 
 
+def by_interval(scored: DataFrame, thresholds: list[float], *also: str) -> tuple[DataFrame, Column]:
+    """Rows of (threshold, also, n) that stand for (score, also) at each threshold of a stated, short grid, and whether their score reaches it. Rows are
+    counted once by the interval their score is in, and only the counts meet the grid. A null score reaches none."""
+    grid = sorted(set(thresholds))
+    reached = sum((F.coalesce((F.col("score") >= t).cast("int"), F.lit(0)) for t in grid), F.lit(0))
+    counts = scored.groupBy(reached.alias("_reached"), *also).agg(F.count("*").alias("n"))
+    steps = scored.sparkSession.createDataFrame([(t, k) for k, t in enumerate(grid)], "threshold double, _step int")
+    return counts.crossJoin(F.broadcast(steps)), F.col("_reached") > F.col("_step")
+
+
 def sweep(scored: DataFrame, thresholds: list[float]) -> DataFrame:
-    """Outcomes (answerable, correct, score) by threshold: recall, abstention and their mean. The grid is stated and short."""
-    grid = scored.sparkSession.createDataFrame([(t,) for t in thresholds], "threshold double")
-    rows = scored.crossJoin(F.broadcast(grid)).withColumn("asserted", F.col("score") >= F.col("threshold"))
-    n = rows.groupBy("threshold").agg(
-        F.count_if("answerable").alias("n_answerable"), F.count_if(~F.col("answerable")).alias("n_other"),
-        F.count_if(F.col("answerable") & F.col("asserted") & F.col("correct")).alias("right"),
-        F.count_if(F.col("answerable") & F.col("asserted") & ~F.col("correct")).alias("wrong"),
-        F.count_if(~F.col("answerable") & ~F.col("asserted")).alias("refused"),
+    """Outcomes (answerable, correct, score) by threshold: recall, abstention and their mean."""
+    rows, reaches = by_interval(scored, thresholds, "answerable", "correct")
+    many = lambda condition: F.sum(F.when(condition, F.col("n")).otherwise(0))
+    n = rows.withColumn("asserted", reaches).groupBy("threshold").agg(
+        many(F.col("answerable")).alias("n_answerable"), many(~F.col("answerable")).alias("n_other"),
+        many(F.col("answerable") & F.col("asserted") & F.col("correct")).alias("right"),
+        many(F.col("answerable") & F.col("asserted") & ~F.col("correct")).alias("wrong"),
+        many(~F.col("answerable") & ~F.col("asserted")).alias("refused"),
     )
     recall = F.col("right") / F.greatest(F.col("n_answerable"), F.lit(1))
     abstain = F.col("refused") / F.greatest(F.col("n_other"), F.lit(1))
@@ -163,15 +175,10 @@ def best_threshold(swept: DataFrame) -> DataFrame:
 
 
 def percentiles_floor(rows: DataFrame, group: str, value: str, quantiles: list[float], of_last: bool = False) -> DataFrame:
-    """Value at place floor(q n) of each group, or floor(q (n - 1)), by running counts of distinct values."""
-    from pyspark.sql import Window
-
-    counts = rows.groupBy(group, value).agg(F.count("*").alias("c"))
-    by = Window.partitionBy(group)
-    run = counts.withColumns({"upto": F.sum("c").over(by.orderBy(value)), "n": F.sum("c").over(by)})
-    hit = run.select(group, value, "upto", "n", F.explode(F.array(*map(F.lit, quantiles))).alias("q"))
-    place = F.least(F.floor(F.col("q") * (F.col("n") - int(of_last))), F.col("n") - 1)
-    return hit.filter(F.col("upto") > place).groupBy(group, "q").agg(F.min(value).alias("value"))
+    """(group, q, value): the value at place floor(q n) of each group, or floor(q (n - 1))."""
+    made = ranks.floor(rows, [group], value, {f"_q{k}": q for k, q in enumerate(quantiles)}, of_last).filter("n > 0")
+    each = F.array(*[F.struct(F.lit(q).alias("q"), F.col(f"_q{k}").alias(value)) for k, q in enumerate(quantiles)])
+    return made.select(group, F.explode(each).alias("e")).select(group, "e.q", F.col(f"e.{value}").alias("value"))
 
 
 def cause(flags: dict[str, str]) -> Column:

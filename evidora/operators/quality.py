@@ -11,21 +11,24 @@ from pyspark.sql import functions as F
 
 from evidora.functions import stats
 from evidora.functions import text as T
+from evidora.operators import ranks
+from evidora.operators.evaluate import by_interval
 
 SCORE_DIGITS = 6
 
 
-def classification(predicted: Column, label: Column) -> list[Column]:
-    """Aggregates of a two-class decision: counts, accuracy, precision, recall, F1; 0 where nothing can be divided by."""
-    hit, false, missed = F.count_if(predicted & label), F.count_if(predicted & ~label), F.count_if(~predicted & label)
-    shares = {"accuracy": (F.count_if(predicted == label), F.count("*")), "precision": (hit, hit + false), "recall": (hit, hit + missed), "f1": (2 * hit, 2 * hit + false + missed)}
-    return [F.count("*").alias("n"), *(F.round(T.ratio(a, b), 6).alias(k) for k, (a, b) in shares.items()), false.alias("premature"), missed.alias("missed")]
+def classification(predicted: Column, label: Column, weight: Column | None = None) -> list[Column]:
+    """Aggregates of a two-class decision: counts, accuracy, precision, recall, F1; 0 where nothing can be divided by. A row stands for ``weight`` rows."""
+    many = F.count_if if weight is None else lambda condition: F.coalesce(F.sum(F.when(condition, weight)), F.lit(0))
+    hit, false, missed, n = many(predicted & label), many(predicted & ~label), many(~predicted & label), F.count("*") if weight is None else F.sum(weight)
+    shares = {"accuracy": (many(predicted == label), n), "precision": (hit, hit + false), "recall": (hit, hit + missed), "f1": (2 * hit, 2 * hit + false + missed)}
+    return [n.alias("n"), *(F.round(T.ratio(a, b), 6).alias(k) for k, (a, b) in shares.items()), false.alias("premature"), missed.alias("missed")]
 
 
 def f1_grid(scored: DataFrame, thresholds: list[float]) -> DataFrame:
     """``classification`` of (score, label) at each threshold of a stated, short grid."""
-    rows = scored.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
-    return rows.groupBy("threshold").agg(*classification(F.col("score") >= F.col("threshold"), F.col("label")))
+    rows, reaches = by_interval(scored, thresholds, "label")
+    return rows.groupBy("threshold").agg(*classification(reaches, F.col("label"), F.col("n")))
 
 
 def auc(scored: DataFrame) -> DataFrame:
@@ -53,7 +56,10 @@ def policies(swept: DataFrame, cases: list[tuple[float, float]]) -> DataFrame:
 def paired_latency(rows: DataFrame, keys: list[str], base: str, other: str) -> DataFrame:
     """Latencies (keys, mode, ms) of two modes over the turns that both have: medians, 95th percentiles, and how much faster."""
     one = rows.groupBy(*keys).agg(*(F.min(F.when(F.col("mode") == m, F.col("ms"))).alias(c) for m, c in ((base, "a"), (other, "b")))).filter("a IS NOT NULL AND b IS NOT NULL")
-    made = one.agg(F.count("*").alias("n"), *(F.round(stats.percentile_linear(F.col(c), q), 6).alias(f"{name}_p{int(100 * q)}") for c, name in (("a", "base"), ("b", "other")) for q in (0.5, 0.95)))
+    each = one.select(F.expr("stack(2, 'base', a, 'other', b) AS (side, ms)"))
+    found = ranks.linear(each, ["side"], "ms", {"p50": 0.5, "p95": 0.95})
+    of = lambda side, c: F.round(F.max(F.when(F.col("side") == side, F.col(c))), 6).alias(f"{side}_{c}")
+    made = found.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), *(of(side, c) for side in ("base", "other") for c in ("p50", "p95")))
     return made.withColumn("speed_up", F.round(F.col("base_p50") / F.nullif(F.col("other_p50"), F.lit(0.0)), 6))
 
 

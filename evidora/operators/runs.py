@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidora.config import FEATURE_DEFAULTS, FEATURES, TURN_MARKS
-from evidora.functions import stats
 from evidora.functions import text as T
 from evidora.operators import claims as claims_
+from evidora.operators import ranks
 from evidora.operators.evaluate import TURN, percentiles_floor, rate
 
 LIKE = 0.5
@@ -128,8 +128,9 @@ def stage_timings(marks: DataFrame) -> DataFrame:
 
 def stage_summary(samples: DataFrame) -> DataFrame:
     """(stage, n, p50, p95, p99, max, mean) of samples (stage, ms)."""
-    shares = (stats.percentile_linear(F.col("ms"), q).alias(f"p{int(100 * q)}") for q in (0.5, 0.95, 0.99))
-    made = samples.groupBy("stage").agg(F.count("ms").alias("n"), *shares, F.max("ms").alias("max"), F.avg("ms").alias("mean"))
+    shares = ranks.linear(samples, ["stage"], "ms", {f"p{int(100 * q)}": q for q in (0.5, 0.95, 0.99)})
+    sums = samples.groupBy(F.struct("stage").alias("_g")).agg(F.max("ms").alias("max"), F.avg("ms").alias("mean"))
+    made = shares.withColumn("_g", F.struct("stage")).join(sums, "_g")
     return made.select("stage", "n", *(F.round(c, 3).alias(c) for c in ("p50", "p95", "p99", "max", "mean")))
 
 

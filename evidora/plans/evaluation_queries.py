@@ -9,6 +9,7 @@ from evidora import config as C
 from evidora.functions import stats
 from evidora.functions import text as T
 from evidora.operators import evaluate as E
+from evidora.operators import ranks
 from evidora.plans import sql as S
 from evidora.session import table
 
@@ -108,12 +109,19 @@ def claim_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.new_claims(rows).groupBy("session_id").agg(F.count("*").alias("n_claims"), F.count_if(F.length("text") % 2 == 0).alias("n_correct"), F.round(F.avg(F.size(F.split(F.trim("text"), r"\s+"))), 6).alias("words"))
 
 
+SHARES = {f"p{int(q * 100)}": q for q in (0.5, 0.95, 0.99)}
+
+
 def percentiles_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), *(F.round(stats.percentile_linear(F.col("value"), q), 6).alias(f"p{int(q * 100)}") for q in (0.5, 0.95, 0.99)), F.round(F.max("value"), 6).alias("max"), F.round(F.avg("value"), 6).alias("mean"))
+    rows = table(spark, sf_dir, "events")
+    of = F.struct("event_type").alias("of")
+    found = ranks.linear(rows, ["event_type"], "value", SHARES).drop("n").withColumn("of", of)
+    sums = rows.groupBy(of).agg(F.count("*").alias("n"), F.round(F.max("value"), 6).alias("max"), F.round(F.avg("value"), 6).alias("mean"))
+    return found.join(sums, "of").select("event_type", "n", *(F.round(c, 6).alias(c) for c in SHARES), "max", "mean")
 
 
 def percentiles_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(*(stats.percentile_nearest("value", q).alias(f"p{int(q * 100)}") for q in (0.5, 0.95, 0.99)))
+    return ranks.nearest(table(spark, sf_dir, "events"), ["event_type"], "value", SHARES).drop("n")
 
 
 def percentiles_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
