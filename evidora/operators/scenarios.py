@@ -12,14 +12,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidora.operators import scans
+from evidora.sources import corpus
 
 HASH_BITS = 48
 BLOCK_BITS = 36  # 4,096 blocks of the hash's range
 
 # What users say beside their questions. Each is of a kind that the controller's patterns know.
-LEADS = ["Actually,", "Also,", "It turns out", "Wait, one more thing —"]
-ASKS = ["Can you shorten that to one sentence?", "Please repeat your last answer in two bullets.", "Summarize what you just said as three bullet points."]
-GREETINGS = ["Good morning", "Hello", "Hi", "Okay", "Thank you", "Thanks"]
+GREETINGS = ["Hi", "Hello", "Thanks", "Thank you", "Okay", "Good morning"]
+LEADS = ["Actually,", "Wait, one more thing —", "Also,", "It turns out"]
+ASKS = ["Please repeat your last answer in two bullets.", "Can you shorten that to one sentence?", "Summarize what you just said as three bullet points."]
 
 TEMPLATES = ["multi_intent", "late_detail", "suppression", "chit_chat"]
 EARLY_WORDS = 6
@@ -41,18 +42,19 @@ def bottom(rows: DataFrame, strata: list[str], keys: list[str], k: int, seed: in
     return rows.withColumn("_r", F.row_number().over(by)).filter(F.col("_r") <= k).drop("_r")
 
 
-def matched(questions: DataFrame, doc: str, key: str, size: str, seed: int = 0) -> DataFrame:
+def matched(questions: DataFrame, doc: str, key: str, size: str, seed: int = 0, apart: tuple[str, ...] = ()) -> DataFrame:
     """questions with (group_doc, group_no, place): each in one group of ``size`` questions of its document, which is one number in a document;
-    those that a document leaves over in groups across documents (group_doc is null), of the same size. Less than a group is left out."""
+    those that a document leaves over in groups across documents (group_doc is null), of the same size and of equal columns ``apart``, which are
+    a document's too. Less than a group is left out."""
     width = 1 << BLOCK_BITS
     at = questions.withColumn("_at", draw(seed, key))
     own = scans.numbered(at, [doc], "_at", ["_at", key], "_i", width)
     total = questions.groupBy(F.struct(doc).alias("_of")).agg(F.count("*").alias("_n"))
     own = own.withColumn("_of", F.struct(doc)).join(total, "_of").drop("_of")
     whole = F.col("_i") < F.col("_n") - F.col("_n") % F.col(size)
-    alone = scans.numbered(own.filter(~whole).drop("_i", "_n"), [size], "_at", ["_at", key], "_i", width)
-    rest = alone.groupBy(size).agg(F.count("*").alias("_n"))  # a row per size
-    alone = alone.join(F.broadcast(rest), size).filter(F.col("_i") < F.col("_n") - F.col("_n") % F.col(size))
+    alone = scans.numbered(own.filter(~whole).drop("_i", "_n"), [*apart, size], "_at", ["_at", key], "_i", width)
+    rest = alone.groupBy(*apart, size).agg(F.count("*").alias("_n"))
+    alone = alone.join(rest, [*apart, size]).filter(F.col("_i") < F.col("_n") - F.col("_n") % F.col(size))
     put = lambda rows, of: rows.select(*questions.columns, of.alias("group_doc"), F.expr(f"_i div {size}").alias("group_no"), (F.col("_i") % F.col(size)).cast("int").alias("place"))
     return put(own.filter(whole), F.col(doc)).unionByName(put(alone, F.lit(None).cast(questions.schema[doc].dataType)))
 
@@ -72,11 +74,7 @@ def turns(questions: DataFrame, doc: str, key: str, text: str, seed: int = 0) ->
     ``key`` names a question among all; a scenario is called after its template and its first question. ``gold`` are the questions that the turn asks,
     ``docs`` their documents; ``early`` says whether the turn is long enough that a search could start before its end."""
     plan = planned(questions, doc, key, text, seed)
-    plan = plan.withColumn("_pool", F.concat("template", F.col("size").cast("string")))
-    dealt = None
-    for template in TEMPLATES:  # groups never mix templates
-        part = matched(plan.filter(F.col("template") == template), doc, key, "size", seed)
-        dealt = part if dealt is None else dealt.unionByName(part)
+    dealt = matched(plan, doc, key, "size", seed, ("template",))
     item = F.struct("place", F.col(text).alias("text"), F.col(key).alias("key"), F.col(doc).cast("string").alias("doc"))
     groups = dealt.groupBy("template", "size", F.struct("group_doc").alias("_of"), "group_no").agg(F.array_sort(F.collect_list(item)).alias("q"))  # three at most
     first = groups.withColumn("first_key", F.col("q")[0]["key"]).withColumn("_h", draw(seed + 2, "first_key"))
@@ -98,3 +96,15 @@ def turns(questions: DataFrame, doc: str, key: str, text: str, seed: int = 0) ->
     )
     named = F.concat_ws("_", F.lit("gen"), F.col("template"), F.col("first_key").cast("string")).alias("scenario_id")
     return first.select(named, "template", F.explode(made).alias("t")).select("scenario_id", "template", "t.*")
+
+
+def events(turns_: DataFrame, words: int = 6, wpm: int = 150, pause: int = 300, gap: int = 1500) -> DataFrame:
+    """Timed chunk events of (scenario_id, utterance_id, text): a turn starts ``gap`` ms after the end of the one before; a session starts at its first
+    event and ends two seconds after its last."""
+    spoken = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")) * (60_000 // wpm) + pause + gap
+    by = Window.partitionBy("scenario_id").orderBy("utterance_id").rowsBetween(Window.unboundedPreceding, -1)  # two turns
+    timed = turns_.withColumn("start_ms", F.coalesce(F.sum(spoken).over(by), F.lit(0)))
+    said = corpus.utterance_events(timed.withColumnRenamed("scenario_id", "session_id"), words, wpm, pause)
+    edges = said.groupBy("session_id").agg(F.min("timestamp_ms").alias("a"), (F.max("timestamp_ms") + 2000).alias("b"))
+    ends = edges.select("session_id", F.expr("stack(2, 'session_start', a, 'session_end', b) AS (event_type, timestamp_ms)"))
+    return said.unionByName(ends, allowMissingColumns=True)
