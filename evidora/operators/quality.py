@@ -99,6 +99,23 @@ def ready_rows(chunks: DataFrame, intents: DataFrame, cover: float = 0.7) -> Dat
     return rows.select("session_id", "seq", F.coalesce(F.col("seq") >= F.col("at"), F.lit(False)).alias("ready"))
 
 
+def back_filled(rows: DataFrame, pairs: dict[str, tuple[str, str]], scorer, features: list[str]) -> DataFrame:
+    """rows with a column ``<feature>_<name>`` for each pair of text columns (claim, context) called ``name``. ``scorer`` takes a table of distinct pairs
+    (claim, context) and gives it with the features; it sees each pair once, however many rows and names share it, and only those that some row
+    lacks a feature of. What rows already have stays, so a second run scores nothing anew. A null or blank claim, or a null context, has no features.
+    Rows are as many as before, repeated ones included."""
+    made = [(name, f, f"{f}_{name}") for name in pairs for f in features]
+    rows = rows.select("*", *[F.lit(None).cast("double").alias(c) for _, _, c in made if c not in rows.columns])
+    key = {name: F.when((F.trim(a) != "") & F.col(b).isNotNull(), F.struct(F.col(a).alias("claim"), F.col(b).alias("context"))) for name, (a, b) in pairs.items()}
+    lacks = {name: F.when(F.greatest(*[F.col(c).isNull() for n, _, c in made if n == name], F.lit(False)), key[name]) for name in pairs}
+    asked = rows.select(F.explode(F.array_distinct(F.array(*lacks.values()))).alias("p")).filter("p IS NOT NULL").select("p.*").distinct()
+    scored = scorer(asked).select(F.struct("claim", "context").alias("_p"), *[F.col(f).cast("double").alias(f"_{f}") for f in features])
+    for name in pairs:
+        found = rows.withColumn("_p", lacks[name]).join(scored, "_p", "left")
+        rows = found.withColumns({c: F.coalesce(c, f"_{f}") for n, f, c in made if n == name}).drop("_p", *[f"_{f}" for f in features])
+    return rows
+
+
 def log_problems(trace: DataFrame, events: tuple[str, ...], turn_events: tuple[str, ...]) -> DataFrame:
     """(event, problem, n): what a log's rows lack. Events must be known and have a time and a session, those of turns an utterance too."""
     event = F.col("event")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidora import config as C
@@ -80,8 +80,25 @@ def gate_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.auc(rows.filter("doc_id % 5 = 0").select(F.round(probability(), 4).alias("score"), "label")).select("n_true", "n_false", F.round("auc", 3).alias("auc"))
 
 
+def overlap(pairs: DataFrame) -> DataFrame:
+    """A scorer without a model: how much of the context's words the claim has, and whether the two disagree on having numbers."""
+    a, b = T.content_set(F.col("claim")), T.content_set(F.col("context"))
+    return pairs.withColumns({"entail": F.round(T.coverage(b, a), 6), "contra": (F.col("claim").rlike("[0-9]") != F.col("context").rlike("[0-9]")).cast("double")})
+
+
+def feature_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies' first and last lines as two claims on the turn before; every third conversation has one feature from an earlier run."""
+    c = table(spark, sf_dir, "conversations").filter("conv_id IS NOT NULL AND turn IS NOT NULL").groupBy("conv_id", "turn").agg(F.min("role").alias("role"), F.min("text").alias("text"))
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    replies = c.withColumn("asked", before).filter("role = 'assistant'")
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    rows = replies.select("conv_id", "turn", "asked", lines[0].alias("rd_claim"), F.element_at(lines, -1).alias("ce_claim"), F.when(F.col("conv_id") % 3 == 0, 0.5).alias("entail_rd"))
+    made = Q.back_filled(rows, {"rd": ("rd_claim", "asked"), "ce": ("ce_claim", "asked")}, overlap, ["entail", "contra"])
+    return made.select("conv_id", "turn", "entail_rd", "contra_rd", "entail_ce", "contra_ce")
+
+
 QUERIES = {f.__name__: f for f in (
-    classification_report, f1_grid, auc_by_rank, refusal_policy, paired_latency, paired_outcomes, run_comparison, stage_bounds, training_rows, log_problems, gate_fit,
+    classification_report, f1_grid, auc_by_rank, refusal_policy, paired_latency, paired_outcomes, run_comparison, stage_bounds, training_rows, log_problems, gate_fit, feature_backfill,
 )}
 
 
@@ -118,4 +135,13 @@ r AS (SELECT a.session_id, a.seq, list_distinct({S.content("string_agg(b.text, '
 SELECT r.session_id, r.seq, bool_or(len(list_intersect(own, heard)) / len(own) >= 0.7) AS ready FROM r JOIN i ON r.session_id = i.session_id AND len(own) > 0 GROUP BY ALL""",
     "log_problems": f"""WITH {_TRACE} SELECT event, problem, count(*) AS n FROM (SELECT event, unnest(list_filter([CASE WHEN event IS NULL THEN 'no event' END, CASE WHEN event NOT IN {EVENTS} THEN 'unknown event' END, CASE WHEN ts_ms IS NULL THEN 'no time' END,
   CASE WHEN session_id IS NULL THEN 'no session' END, CASE WHEN event IN {TURN_EVENTS} AND utterance_id IS NULL THEN 'no utterance' END], lambda x: x IS NOT NULL)) AS problem FROM t) GROUP BY event, problem""",
+    "feature_backfill": f"""WITH c AS (SELECT conv_id, turn, min(role) AS role, min(text) AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY 1, 2),
+b AS (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS asked FROM c),
+r AS (SELECT *, string_split(coalesce(text, ''), chr(10)) AS l FROM b WHERE role = 'assistant'),
+x AS (SELECT conv_id, turn, asked, l[1] AS a, l[-1] AS z FROM r),
+s AS (SELECT *, list_distinct({S.content('a')}) AS wa, list_distinct({S.content('z')}) AS wz, list_distinct({S.content('asked')}) AS w FROM x)
+SELECT conv_id, turn, CASE WHEN conv_id % 3 = 0 THEN 0.5 WHEN trim(a) <> '' AND asked IS NOT NULL THEN round({S.coverage('w', 'wa')}, 6) END AS entail_rd,
+CASE WHEN trim(a) <> '' AND asked IS NOT NULL THEN CAST(regexp_matches(a, '[0-9]') <> regexp_matches(asked, '[0-9]') AS INT) END AS contra_rd,
+CASE WHEN trim(z) <> '' AND asked IS NOT NULL THEN round({S.coverage('w', 'wz')}, 6) END AS entail_ce,
+CASE WHEN trim(z) <> '' AND asked IS NOT NULL THEN CAST(regexp_matches(z, '[0-9]') <> regexp_matches(asked, '[0-9]') AS INT) END AS contra_ce FROM s""",
 }

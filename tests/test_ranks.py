@@ -66,3 +66,21 @@ def test_sweeps_count_rows_once_and_equal_plain_counts(spark):
     for t, r in f1.items():
         assert r.n == len(data) and r.premature == sum(s is not None and s >= t and not a for a, _, s in data)
     assert E.sweep(rows.limit(0), grid).collect() == []
+
+
+def test_backfill_scores_each_pair_once_and_keeps_what_is_there(spark):
+    data = [(1, "a b", "a", "c", 0.25), (2, "a b", "a", "a b", None), (2, "a b", "a", "a b", None), (3, None, "a", " ", None), (4, "x", None, "y", None), (5, "a b", "a", None, 0.75)]
+    rows = spark.createDataFrame(data, "id long, one string, context string, two string, s_p double")
+    seen = []
+
+    def scorer(pairs):
+        seen.extend(map(tuple, pairs.collect()))
+        return pairs.withColumn("s", F.length("claim").cast("double"))
+
+    made = Q.back_filled(rows, {"p": ("one", "context"), "q": ("two", "context")}, scorer, ["s"])
+    assert sorted(seen) == [("a b", "a"), ("c", "a")]
+    got = sorted(((r.id, r.s_p, r.s_q) for r in made.collect()), key=str)
+    assert got == [(1, 0.25, 1.0), (2, 3.0, 3.0), (2, 3.0, 3.0), (3, None, None), (4, None, None), (5, 0.75, None)]
+    seen.clear()
+    again = Q.back_filled(made.filter("id IN (2, 3, 4)"), {"p": ("one", "context"), "q": ("two", "context")}, scorer, ["s"])
+    assert again.count() == 4 and seen == []
