@@ -119,7 +119,7 @@ def reformat(claims_: Column, instruction: Column) -> Column:
     limit = F.lit(None).cast("int")
     for word, n in (("one", 1), ("single", 1), ("two", 2), ("three", 3), ("four", 4)):
         limit = F.when(F.contains(low, F.lit(word)), n).otherwise(limit)
-    limit = F.coalesce(F.nullif(F.regexp_extract(low, r"\b(\d+)\b", 1), F.lit("")).cast("int"), limit)
+    limit = F.coalesce(F.nullif(F.regexp_extract(low, T.plain(r"\b(\d+)\b"), 1), F.lit("")).cast("int"), limit)
     chosen = F.when(limit > 0, F.slice(claims_, 1, F.greatest(limit, F.lit(1)))).otherwise(claims_)
     bullets = F.array_join(F.transform(chosen, lambda c: F.concat(F.lit("• "), c.text, F.lit(" ["), F.array_join(c.citations, ", "), F.lit("]"))), "\n")
     return F.when(low.rlike("bullet|point|list"), bullets).otherwise(F.array_join(F.transform(chosen, lambda c: c.text), " "))

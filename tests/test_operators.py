@@ -53,6 +53,16 @@ def test_search_with_a_scorer_and_nothing(spark):
     assert retrieve.search(d, q.limit(0), Retrieval(mode="sparse")).count() == 0
 
 
+def test_sentences_keep_digits_and_ascii_bounds(spark):
+    rows = [(1, "Zero. 1 one 1. Two 22 is 2. 33 three 3"), (2, "\u00a0 A. \u3000B!\u2003 "), (3, " "), (4, None), (5, "Vertical.\x0btab")]
+    got = {r.id: r.s for r in spark.createDataFrame(rows, "id long, text string").select("id", T.sentences(F.col("text")).alias("s")).collect()}
+    assert got == {1: ["Zero.", "1 one 1.", "Two 22 is 2.", "33 three 3"], 2: ["A.", "B!"], 3: [], 4: None, 5: ["Vertical.\x0btab"]}
+    text = F.col("text")
+    told = spark.createDataFrame([("Do\u00f1ez goes",), ("Dozens go",), ("It\u00e9 alone is 5\u00f1",)], "text string")
+    got = [tuple(r) for r in told.select(T.opens_question(text), T.needs_context(text), T.continues(text), T.strong_anchor(text)).collect()]
+    assert got == [(True, False, False, False), (False, False, False, False), (False, True, True, True)]
+
+
 def test_bootstrap(spark):
     same = spark.createDataFrame([(k % 5, 1.0, 1.0) for k in range(50)], "cluster long, a double, b double")
     r = evaluate.bootstrap(same, 200).first()
