@@ -15,7 +15,7 @@ from evidora.session import table
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, q = R.docs(spark, sf_dir), R.items(spark, sf_dir)
-    near = retrieve.sparse(d, q, 5).join(d, "ord").join(q, "query_id")
+    near = d.join(F.broadcast(retrieve.sparse(d, q, 5)), "ord").join(q, "query_id")
     return near.select("query_id", "query", "rank", F.concat("chunk_id", F.lit(" §1")).alias("citation"), "text")
 
 

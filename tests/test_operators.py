@@ -199,3 +199,24 @@ def test_lsa_has_every_term_and_equals_a_full_svd(spark):
         dense[r.ord, list(r.m)] = list(r.m.values())
     best = (np.linalg.svd(dense, compute_uv=False)[:12] ** 2).sum()
     assert ((dense @ lsa.components) ** 2).sum() > 0.999 * best
+
+
+def test_rare_grams_are_joined_exactly(spark):
+    """Whatever share of the n-grams is sent to the workers, scores are the same."""
+    from evidora.operators import retrieve
+
+    texts = [(i, f"common words and copy{i % 5} x{i}y{i * 7 % 11}z" if i % 9 else "common words and a copy") for i in range(300)]
+    docs = spark.createDataFrame(texts, "ord long, text string").repartition(4)
+    queries = spark.createDataFrame([(1, "copy3 words"), (2, "x17y9z"), (3, "common")], "query_id long, query string")
+    want, *others = [{tuple(r) for r in retrieve.char_channel(docs, queries, 4, common=n).collect()} for n in (1 << 17, 40, 1)]
+    assert len(want) == 12 and others == [want, want]
+
+
+def test_bm25_reads_texts_once(spark):
+    from evidora.plans import catalog
+    from tests.conftest import SMALL
+
+    rows = catalog.QUERIES["bm25_topk"](spark, SMALL)
+    rows.collect()
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan and plan.split("Initial Plan")[0].count("SortMergeJoin") == 0
