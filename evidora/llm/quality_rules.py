@@ -148,15 +148,16 @@ def keep_good(docs: DataFrame, text_col: str = "text", min_words: int = 50, max_
     return docs.mapInArrow(giving_back(run), T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema]))
 
 
-def fit_bands(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", margin: float = 0.03, room: float = 0.1, most_rows: int = 20_000) -> Bands:
-    """Bands for a corpus from ``most_rows`` of its labelled rows at most, those of the least hashes: at each power of two
+def fit_bands(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", margin: float = 0.03, room: float = 0.1) -> Bands:
+    """Bands for a corpus from all of its labelled rows: at each power of two
     the least ratio of texts with label 1 that are nearest to that length, less ``room``, and the largest, with
     ``margin`` more. Rows of the held-out fifth, where crc32 of the id as text leaves 0 when divided by 5, and
     those that fail the base rules are left out. Below and above the lengths that have 20 texts the limits are those of ``BANDS``."""
     learn = labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_y")).filter("_y = 1").filter(F.crc32(F.col("_id").cast("string").cast("binary")) % 5 != 0).dropDuplicates(["_id"])
-    learn = learn.orderBy(F.xxhash64("_id"), "_id").limit(most_rows)
-    rows = docs.join(F.broadcast(learn), docs[id_col] == learn["_id"], "left_semi")  # most_rows ids at most
-    own = measure(rows, id_col).filter("NOT base_failed").select(F.log2("n_bytes").alias("at"), "ratio")
+    # texts are measured where they lie, and only their figures are joined to the labels
+    eligible = docs.filter(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 != 0)
+    own = measure(eligible, id_col).filter("NOT base_failed").select("id", F.log2("n_bytes").alias("at"), "ratio")
+    own = own.join(learn, own["id"] == learn["_id"], "left_semi")
     found = own.select(F.round("at").cast("int").alias("power"), "ratio")
     found = found.groupBy("power").agg(F.min("ratio").alias("low"), F.max("ratio").alias("high"), F.count("*").alias("n")).filter("n >= 20").orderBy("power").collect()
     own = tuple((1 << int(r.power), round(r.low * (1 - room), 2), round(r.high * (1 + margin), 2)) for r in found)

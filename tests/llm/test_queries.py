@@ -402,3 +402,17 @@ def test_near_duplicate_stage_against_all_pairs(spark):
             least[a] = least[b] = m
     kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, folder).collect()}
     assert kept == {i for i in sets if least[i] == i} and len(kept) < len(sets)
+
+
+def test_bands_use_all_labelled_rows(spark):
+    """A wide ratio counts whichever of many labelled rows has it."""
+    from pyspark.sql import functions as F
+
+    from evidora.llm import quality_rules
+
+    docs = spark.range(26_000).select(F.col("id").alias("doc_id"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: F.substring(F.md5((F.col("id") * 60 + i).cast("string").cast("binary")), 1, 5)), " ").alias("text"))
+    last = docs.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).orderBy(F.desc(F.xxhash64("doc_id"))).first().doc_id
+    docs = docs.withColumn("text", F.when(F.col("doc_id") == last, F.array_join(F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: F.concat(F.lit("w"), i.cast("string"), F.lit("zz"))), " ")).otherwise(F.col("text")))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    ratio = quality_rules.measure(docs.filter(F.col("doc_id") == last)).first().ratio
+    assert max(b[2] for b in quality_rules.fit_bands(docs, labels) if 256 <= b[0] <= 512) >= round(ratio, 2)
