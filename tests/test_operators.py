@@ -220,3 +220,37 @@ def test_bm25_reads_texts_once(spark):
     rows.collect()
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "ReusedExchange" in plan and plan.split("Initial Plan")[0].count("SortMergeJoin") == 0
+
+
+def test_cosine_products_are_bounded(spark, monkeypatch):
+    """As many queries as there are never make a product of over a million scores; the results are those of brute force."""
+    import numpy as np
+
+    from evidora.operators import retrieve
+
+    v = np.round(np.random.default_rng(3).standard_normal((3000, 4)), 1)
+    rows = spark.createDataFrame([(i, x.tolist(), int(i % 3)) for i, x in enumerate(v)], "ord long, vector array<double>, label int").repartition(2)
+    asked = rows.filter("ord < 900").withColumnRenamed("ord", "query_id")
+    unit = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+    scores = np.round(unit[:900] @ unit.T, 6)
+    for group in (None, "label"):
+        got = {(r.query_id, r["rank"]): r.ord for r in retrieve.cosine(rows, asked, 3, group=group).collect()}
+        held = scores if group is None else np.where(np.arange(900)[:, None] % 3 == np.arange(3000)[None] % 3, scores, -1)
+        order = np.argsort(-held, axis=1, kind="stable")[:, :3]
+        assert got == {(q, r + 1): order[q, r] for q in range(900) for r in range(3) if held[q, order[q, r]] > 0}
+    seen = []
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda self, run, schema: seen.append(run) or self.limit(0).selectExpr("0L query_id", "0L ord", "0D score"))
+    retrieve.cosine(rows, asked, 3)
+    assert dict(zip(seen[0].__code__.co_freevars, (c.cell_contents for c in seen[0].__closure__), strict=True))["step"] * 900 <= 1 << 20
+
+
+def test_bigrams_are_dealt_by_size(spark, monkeypatch):
+    from evidora.plans import retrieval_queries as R
+    from tests.conftest import SMALL
+
+    want = sorted(map(tuple, R.bigram_low_df(spark, SMALL).collect()))
+    monkeypatch.setattr(R, "BIGRAM_CHARS", 10_000)
+    rows = R.bigram_low_df(spark, SMALL)
+    size = R.docs(spark, SMALL).agg(F.sum(F.length("text"))).first()[0]
+    assert "hashpartitioning(bigram#" in rows._jdf.queryExecution().executedPlan().toString() and f", {size // 10_000 + 1})" in rows._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, rows.collect())) == want
