@@ -10,7 +10,7 @@ from evidora.functions import text as T
 from evidora.operators import claims, retrieve
 from evidora.plans import retrieval_queries as R
 from evidora.plans import sql as S
-from evidora.session import table
+from evidora.session import scratch, table
 
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,13 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("query_id", "query", "rank", F.concat("chunk_id", F.lit(" §1")).alias("citation"), "text")
 
 
+def stored_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, searched once and stored below spark.checkpoint.dir, for queries that read it more than once: five rows an item."""
+    rows, path = evidence(spark, sf_dir), scratch(spark, "evidence")
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def lexical_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = claims.claims(evidence(spark, sf_dir))
     return found.select(F.col("query_id").alias("item_id"), "rank", "citation", F.md5(F.col("claim").cast("binary")).alias("claim"))
@@ -37,23 +44,30 @@ def anaphoric_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("at").alias("pos"), F.md5(F.concat_ws(" ", F.get("s", F.col("at") - 1), "x").cast("binary")).alias("claim"))
 
 
-def claimed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def claimed(found: DataFrame) -> DataFrame:
     """A claim of each item with its evidence's citations and one that names no document."""
-    rows = evidence(spark, sf_dir).filter("rank <= 3")
+    rows = found.filter("rank <= 3")
     return rows.groupBy(F.col("query_id").alias("claim_id"), F.col("query").alias("claim")).agg(F.concat(F.array_sort(F.collect_list("citation")), F.array(F.concat(F.lit("none "), F.col("query_id").cast("string"), F.lit(" §9")))).alias("citations"))
 
 
-def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.docs(spark, sf_dir).select(F.concat("chunk_id", F.lit(" §1")).alias("citation"), "text")
+def sections(spark: SparkSession, sf_dir: str, named: DataFrame) -> DataFrame:
+    """The sections that claims name, found where they lie: other texts are not dealt out."""
+    every = R.docs(spark, sf_dir).select(F.concat("chunk_id", F.lit(" §1")).alias("citation"), "text")
+    return every.join(F.broadcast(named.select(F.explode("citations").alias("citation")).distinct()), "citation", "left_semi")
+
+
+def verified(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = claimed(stored_evidence(spark, sf_dir))
+    return claims.verify(rows, sections(spark, sf_dir, rows))
 
 
 def grounding_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept, _ = claims.verify(claimed(spark, sf_dir), sections(spark, sf_dir))
+    kept, _ = verified(spark, sf_dir)
     return kept.select("claim_id", F.array_join("citations", "|").alias("citations"), F.round("support", 6).alias("support"), "supported")
 
 
 def fabricated_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return claims.verify(claimed(spark, sf_dir), sections(spark, sf_dir))[1]
+    return verified(spark, sf_dir)[1]
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,37 +50,39 @@ def split_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.split_outcomes(base.gold(spark, sf_dir).withColumn("kind", F.lit("new_request")), R.live_counts(rows))
 
 
-def _cited_at(spark: SparkSession, sf_dir: str, rank: Column) -> DataFrame:
+def _cited_at(spark: SparkSession, sf_dir: str, own: DataFrame, rank: Column) -> DataFrame:
     """(query_id, relevant): the citation of each item's evidence at a rank, or none."""
-    found = A.evidence(spark, sf_dir).filter(F.col("rank") == rank).select("query_id", F.array("citation").alias("relevant"))
+    found = own.filter(F.col("rank") == rank).select("query_id", F.array("citation").alias("relevant"))
     return retrieval_queries.items(spark, sf_dir).join(found, "query_id", "left").withColumn("relevant", F.coalesce("relevant", F.array().cast("array<string>")))
 
 
 def retrieval_ceilings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An item is the question, its first words the sub-query."""
     i = F.col("query_id")
-    rows = _cited_at(spark, sf_dir, 1 + i % 7).withColumn("w", T.tokens(F.col("query")))
+    own = A.stored_evidence(spark, sf_dir)
+    rows = _cited_at(spark, sf_dir, own, 1 + i % 7).withColumn("w", T.tokens(F.col("query")))
     questions = rows.select(i.alias("question_id"), i.alias("turn_id"), F.col("query").alias("question"), "relevant", T.informative(F.array(_word(3)), F.lit("")).alias("answers"))
     asked = rows.select(i.alias("turn_id"), "query_id", _start("w", (1 + i % 9).cast("int")).alias("text"))
-    return R.stage_ceilings(questions, asked, A.evidence(spark, sf_dir).select("query_id", "rank", "citation", "text"))
+    return R.stage_ceilings(questions, asked, own.select("query_id", "rank", "citation", "text"))
 
 
 def wrong_claim_causes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first words of each piece of evidence as a claim."""
     i = F.col("query_id")
-    own = A.evidence(spark, sf_dir)
+    own = A.stored_evidence(spark, sf_dir)
     source = F.when(F.col("rank") != 4, _start(T.tokens(F.col("query")), (F.col("rank") * 3).cast("int")))
     claims = own.select(i.alias("turn_id"), (i * 10 + F.col("rank")).alias("claim_id"), _start(T.tokens(F.col("text")), 8).alias("text"), F.array("citation").alias("citations"), source.alias("source"))
-    rows = _cited_at(spark, sf_dir, F.lit(2)).withColumn("w", T.tokens(F.col("query")))
+    rows = _cited_at(spark, sf_dir, own, F.lit(2)).withColumn("w", T.tokens(F.col("query")))
     gold = rows.select(i.alias("turn_id"), F.col("query").alias("question"), "relevant", F.array(_word(4)).alias("answers"), (i % 4 == 0).alias("unanswerable"))
     return R.claim_causes(claims, gold).select("claim_id", "cause")
 
 
 def failure_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items without a claim from their gold document, and turns that searched late."""
-    rows = _cited_at(spark, sf_dir, 1 + F.col("query_id") % 7)
+    own = A.stored_evidence(spark, sf_dir)
+    rows = _cited_at(spark, sf_dir, own, 1 + F.col("query_id") % 7)
     pairs = rows.select("query_id", F.coalesce(T.citation_doc(F.get("relevant", F.lit(0))), F.lit("none")).alias("gold_doc"))
-    found = R.retrieval_failures(pairs, A.evidence(spark, sf_dir))
+    found = R.retrieval_failures(pairs, own)
     late = R.late_turns(E.turns(base.trace(spark, sf_dir)), base.gold(spark, sf_dir))
     return found.select(F.col("query_id").cast("string").alias("item"), "bucket").union(late.select(F.concat_ws("/", *E.TURN), "bucket"))
 
@@ -160,8 +162,8 @@ def claim_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def claim_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items with one last digit as a session."""
-    own = A.evidence(spark, sf_dir)
-    claims = A.claimed(spark, sf_dir).select((F.col("claim_id") % 10).alias("session_id"), "claim_id", F.reverse("citations").alias("citations"))
+    own = A.stored_evidence(spark, sf_dir)
+    claims = A.claimed(own).select((F.col("claim_id") % 10).alias("session_id"), "claim_id", F.reverse("citations").alias("citations"))
     found = own.select((F.col("query_id") % 10).alias("session_id"), "query_id", "citation", (F.col("rank") * 100_000 + F.col("query_id")).alias("at"))
     return generative.claim_queries(claims, found)
 
