@@ -126,3 +126,53 @@ def test_an_update_that_fails_leaves_the_state_before(spark, queries, monkeypatc
 def test_empty_index(spark, queries):
     stored = segments.SegmentedIndex(spark, scratch(spark, "t-none"))
     assert stored.update(frame(spark, {})) == (0, 0) and best(stored.search(queries, 5)) == []
+
+
+def shuffled(spark):
+    """Rows that all stages up to now have written for a shuffle."""
+    sc, gateway = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway
+    sc.listenerBus().waitUntilEmpty()
+    stages = sc.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_building_shuffles_no_single_postings(spark):
+    """2,000 postings a document were shuffled twice."""
+    rows = [(i, " ".join(f"t{(i + k) % 3000}" for k in range(2000))) for i in range(60)]
+    stored = segments.SegmentedIndex(spark, scratch(spark, "t-shuffle"))
+    before = shuffled(spark)
+    assert stored.update(frame(spark, rows)) == (60, 0)
+    assert stored.segments[0].postings == 120_000 and shuffled(spark) - before < 3000
+
+
+def test_searching_shuffles_postings_and_the_best_alone(spark):
+    """A row for each query and document that share a term was shuffled."""
+    stored = segments.SegmentedIndex(spark, scratch(spark, "t-pairs"))
+    stored.update(frame(spark, [(i, f"common word{i % 7}") for i in range(1000)]))
+    asked = spark.createDataFrame([(f"q{k}", f"common word{k % 9}") for k in range(80)], "query_id string, query string")
+    expect = best(retrieve.sparse(stored.documents().select("ord", F.concat(F.lit("common word"), F.col("ord") % 7).alias("text")), asked, 3))
+    before = shuffled(spark)
+    assert best(stored.search(asked, 3)) == expect and len(expect) == 240
+    assert shuffled(spark) - before < 10_000
+
+
+def test_ranges_portions_and_blocks_of_queries(spark, queries, monkeypatch):
+    """A common term over several files, documents in small portions and batches, in any order of ords; queries in small blocks."""
+    monkeypatch.setattr(segments, "FILE_POSTINGS", 1500)
+    monkeypatch.setattr(segments, "PORTION", 100)
+    draw = random.Random(9)
+    rows = frame(spark, texts(draw, draw.sample(range(-(10**6), 10**6), 1500)) + [(10**7, None), (10**8, ""), (10**9, "lonely " * 5000)]).repartition(5)
+    stored = segments.SegmentedIndex(spark, scratch(spark, "t-ranges"))
+    stored.update(rows)
+    expect = sorted(map(tuple, index.postings(index.doc_tokens(rows)).select("term", "ord", "tf", "doc_len").collect()))
+    assert sorted(map(tuple, stored.postings().select("term", "ord", "tf", "doc_len").collect())) == expect
+    files = {}
+    for r in stored.blocks().select("term", "first", "last", F.input_file_name().alias("file")).collect():
+        files.setdefault(r.file, []).append(((r.term, r.first), (r.term, r.last)))
+    assert all(own == sorted(own) for own in files.values())
+    ends = sorted((min(own)[0], max(own)[1]) for own in files.values())
+    assert len(ends) > 10 and all(a[1] < b[0] for a, b in zip(ends, ends[1:], strict=False))
+    assert sum(a[0] <= "common" <= b[0] for a, b in ends) > 1
+    whole = retrieve.best
+    monkeypatch.setattr(retrieve, "best", lambda *own: whole(*own, block=5))
+    assert best(stored.search(queries, 10)) == best(retrieve.sparse(rows, queries, 10))
