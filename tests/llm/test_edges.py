@@ -315,3 +315,33 @@ def test_archives_of_any_long_id(spark):
     got = warc.read_index(spark, path).collect()
     assert {r.page_id for r in got} == {r[0] for r in rows} and all(len(r.captured) == 20 for r in got)
     assert [r.page_id for r in got if r.record_type == "response"] == [2**63 - 1] and [r.captured for r in got] == sorted(r.captured for r in got)
+
+
+@pytest.mark.parametrize("kind", ["chain", "hub", "random", "empty"])
+def test_components_deal_out_few_tasks(spark, kind):
+    """The driver keeps something of each task and exchange, so a round has two exchanges, and stars need one round alone."""
+    rng = random.Random(5)
+    links = {
+        "chain": [(i, i + 1) for i in range(-200, 200)],
+        "hub": [(i, -7) for i in range(5000)] * 2 + [(9, 9)],
+        "random": [(rng.randrange(-900, 900), rng.randrange(-900, 900)) for _ in range(900)],
+        "empty": [],
+    }[kind]
+    least = {x: x for e in links for x in e}
+    while any(least[a] != least[b] for a, b in links):
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+    table = spark.createDataFrame(links, "a long, b long").repartition(3)
+    table = shared.written(table, "links")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)  # nodes go on from one batch to the next
+    try:
+        spark.sparkContext.setJobGroup(f"components {kind}", "")
+        got = simhash.components(table)
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(f"components {kind}")
+        rows = [tuple(r) for r in got.collect()]
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(rows) == sorted((x, m) for x, m in least.items() if x != m)
+    if kind == "hub":
+        assert len(jobs) <= 5  # two exchanges, the write, and a look at what is open
