@@ -1,6 +1,7 @@
 """The SVD of many terms, dealt out by term, against numpy."""
 
 import random
+from pathlib import Path
 
 import numpy as np
 
@@ -30,3 +31,16 @@ def test_many_terms_are_dealt_out(spark):
     a, b = np.array([found[k] for k in range(40)]), np.array([looked[k] for k in range(40)])
     assert np.abs(a @ a.T - unit(dense @ axes) @ unit(dense @ axes).T).max() < 1e-3
     assert np.abs(b @ a.T - unit(query @ axes) @ unit(dense @ axes).T).max() < 1e-3
+
+
+def test_passes_leave_one_matrix_behind(spark):
+    """Disk does not grow with passes: of the documents' matrices the last two stay, of the terms' none."""
+    draw = random.Random(6)
+    names = ["".join(draw.choices("bdfgklmnprstvz", k=6)) for _ in range(300)]
+    docs = spark.createDataFrame([(k, " ".join(draw.choices(names, k=40))) for k in range(60)], "ord long, text string")
+    lsa = index.Lsa(rank=8, passes=4, held=100).fit(docs)
+    folder = Path(lsa.latent.folder)
+    assert sorted(p.name for p in folder.iterdir()) == ["pass-2", "pass-3", "vocabulary", "weights"]
+    plain = index.Lsa(rank=8, passes=4, held=10_000).fit(docs)
+    a, b = (np.array([r.vector for r in x.transform(docs).orderBy("ord").collect()]) for x in (lsa, plain))
+    assert a.shape == b.shape and (np.abs(np.linalg.norm(a, axis=1) - 1) < 1e-6).all()
